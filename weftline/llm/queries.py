@@ -49,8 +49,17 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op7_packing": op7_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
