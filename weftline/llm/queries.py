@@ -75,11 +75,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.langid import identify_languages, train_languages
+    from weftline.llm.quality import held_out
+
+    docs = _read(spark, sf_dir, "documents")
+    found = identify_languages(docs.select("doc_id", "text"), train_languages(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import held_out, score_quality, train_quality
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _read(spark, sf_dir, "labels"))
+    found = score_quality(docs, model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_ngram_join": op4_ngram_join,
         "op7_packing": op7_packing,
+        "op8_language_id": op8_language_id,
+        "op10_quality": op10_quality,
     }
 
 
