@@ -69,6 +69,48 @@ FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.license_scan import scan_notices
+
+    return scan_notices(_read(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(text: str) -> str:
+    from weftline.llm.license_scan import COPYRIGHT_LINE, NOT_WORD, SPELLINGS
+
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g')) || ' '"
+    for said, meant in SPELLINGS:
+        out = f"replace({out}, ' {said} ', ' {meant} ')"
+    return f"trim({out})"
+
+
+def _known_sql() -> str:
+    from weftline.llm.license_scan import LICENSES
+
+    rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in LICENSES)
+    return f"known AS (SELECT min(i) AS license_id, sha256({_canonical_sql('t')}) AS license_digest FROM (VALUES {rows}) v(i, t) GROUP BY 2)"
+
+
+def _op5_sql() -> str:
+    return f"""
+WITH {_known_sql()}, d AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS license_digest FROM documents)
+SELECT doc_id, license_digest, license_id, license_id IS NOT NULL AS is_license FROM d LEFT JOIN known USING (license_digest)
+"""
+
+
+def _notices_sql() -> str:
+    return f"""
+WITH {_known_sql()}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, CAST(line AS BIGINT) AS line, license_id FROM l JOIN known ON sha256({_canonical_sql('said')}) = license_digest
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack
 
@@ -97,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_ngram_join": op4_ngram_join,
+        "op5_license_scan": op5_license_scan,
+        "license_notices": license_notices,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op10_quality": op10_quality,
@@ -107,4 +151,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": OP3_SQL,
         "op4_ngram_join": OP4_SQL,
+        "op5_license_scan": _op5_sql(),
+        "license_notices": _notices_sql(),
     }
