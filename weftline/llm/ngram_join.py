@@ -3,18 +3,20 @@
 A document is the set of its distinct `words`-word shingles; two documents link
 when `100 * |A & B| >= percent * |A | B|`.  The join is lossless:
 
-* Prefix filter.  Sort a set by any global order of all shingles: linked sets
-  share a shingle among their first n - ceil(t n) + 1.
+* Prefix filter.  Sort a set of n by any global order of all shingles: sets with
+  o in common share k among their first n - o + k.  Prefixes are a 25th of a set
+  longer than k = 1 needs, so that documents which only share a passage fall
+  short of the k that their sizes demand.
 * Several global orders.  All orders put shingles of many documents last and
   break ties by different hashes.  How common a shingle is comes from a counting
   sketch over all documents: 2**sketch_bits counters, whatever the corpus, so it
   may be broadcast, and any content keeps the filter lossless.  A candidate pair
-  must share prefix shingles under every order before its sets are compared.
+  must share k prefix shingles under every order before its sets are compared.
 * Representatives.  Documents with equal sets are one node (a digest), so copies
   never meet each other.
-* Connectivity instead of pairs.  First every node of a prefix shingle is
-  compared with the least node there, a star; that links the groups of near
-  copies in linear work.  Then only pairs that share a prefix shingle across
+* Connectivity instead of pairs.  First every node is compared with one other,
+  of those that are least at its prefix shingles the one most frequent there;
+  these stars link the groups of near copies in linear work.  Then only pairs that share a prefix shingle across
   different components are left, and all of these are compared.  What is skipped
   is connected already, so the classes are exact.
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textbytes as tb
@@ -43,6 +45,8 @@ from weftline.llm.scratch import Scratch
 
 _CHUNKS = 32
 _SEEDS = [0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89]
+#: A prefix is longer than necessary by the set's size over this.
+_EXTRA = 25
 #: Postings of a very common shingle are dealt to buckets of about so many.
 _BUCKET = 500_000
 #: Candidates that one task compares with a leader.
@@ -125,12 +129,12 @@ class _Orders:
         if not n:
             return own
         key = self.classes[(own & self.mask).astype(np.int64)].astype(np.uint64) << np.uint64(56) | tb.mix64(own ^ np.uint64(_SEEDS[order])) >> np.uint64(8)
-        p = n - self.least(n)
+        p = min(n - 1, n - self.least(n) + n // _EXTRA)
         return own[key <= np.partition(key, p)[p]]
 
 
-def _postings(words: int, shared, buckets: int):
-    """(bucket, salted, shingles, nodes): the prefix of each distinct set in the task, under the first order."""
+def _postings(words: int, shared, buckets: int, n_orders: int):
+    """(bucket, salted, shingles, nodes): the prefixes of each distinct set in the task; a shingle's low bits are the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders: _Orders = shared.value
@@ -143,11 +147,12 @@ def _postings(words: int, shared, buckets: int):
             nonlocal tokens, nodes, held
             if not held:
                 return
+            order_of = np.repeat(np.arange(len(tokens), dtype=np.uint64) % np.uint64(n_orders), [len(x) for x in tokens])
             t, v = np.concatenate(tokens), np.concatenate(nodes)
             tokens, nodes, held = [], [], 0
             cls = orders.classes[(t & orders.mask).astype(np.int64)].astype(np.int64)
-            parts = np.maximum(1, np.ceil(2.0 ** (cls / 2) / _BUCKET)).astype(np.uint64) * (cls > 0) + (cls == 0).astype(np.uint64)
-            parts = parts.astype(np.uint64)
+            parts = np.maximum(1, np.ceil(2.0 ** (cls / 2) / _BUCKET)).astype(np.uint64)
+            t = tb.mix64(t + order_of * np.uint64(0x632BE59BD9B4E019)) & ~np.uint64(3) | order_of
             salt = tb.mix64(v.view(np.uint64)) % parts
             bucket = (tb.mix64(t + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64) * 2 + (parts > 1)
             order = np.argsort(bucket, kind="stable")
@@ -168,10 +173,11 @@ def _postings(words: int, shared, buckets: int):
                     if node in seen:
                         continue
                     seen.add(node)
-                    some = orders.prefix(own, 0)
-                    tokens.append(some)
-                    nodes.append(np.full(len(some), node, np.int64))
-                    held += len(some)
+                    for k in range(n_orders):
+                        some = orders.prefix(own, k)
+                        tokens.append(some)
+                        nodes.append(np.full(len(some), node, np.int64))
+                        held += len(some)
                     if held > 1_000_000:
                         yield from flush()
         yield from flush()
@@ -215,13 +221,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[k] == a).sum())
 
 
-def _verify(words: int, shared, n_orders: int):
+def _verify(words: int, percent: int):
     """Streams (a, salt, kind, node, text), leaders first in each (a, salt); yields which candidates link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders: _Orders = shared.value
-        percent = orders.percent
-        group, lead, lead_prefix = None, None, []
+        group, lead = None, None
         for batch in batches:
             groups = list(zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), strict=True))
             kinds, nodes = batch.column("kind").to_pylist(), batch.column("node").to_pylist()
@@ -232,15 +236,12 @@ def _verify(words: int, shared, n_orders: int):
                         continue  # another text under the same id
                     if kinds[r] == 0:
                         group, lead = groups[r], own
-                        lead_prefix = [orders.prefix(own, k) for k in range(1, n_orders)]
                         continue
                     if groups[r] != group:
                         continue
                     n, m = len(lead), len(own)
                     if 100 * min(n, m) < percent * max(n, m):
                         continue
-                    if not all(_overlap(p, orders.prefix(own, k + 1)) for k, p in enumerate(lead_prefix)):
-                        continue
                     both = _overlap(lead, own)
                     if 100 * both >= percent * (n + m - both):
                         left.append(group[0])
@@ -269,9 +270,9 @@ class _Join:
 
     def candidates(self, shingles: int) -> DataFrame:
         """Prefix shingles with the nodes that share them."""
-        buckets = max(16, -(-shingles * (101 - self.percent) // 100 // _BUCKET))
+        buckets = max(16, -(-shingles * self.n_orders * (105 - self.percent) // 100 // _BUCKET))
         texts = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
-        posted = texts.mapInArrow(_postings(self.words, self.orders, buckets), "bucket long, salted long, tokens binary, nodes binary")
+        posted = texts.mapInArrow(_postings(self.words, self.orders, buckets, self.n_orders), "bucket long, salted long, tokens binary, nodes binary")
         return self.scratch.save(posted.groupBy("bucket").applyInArrow(_shared, "token long, node long"), "shared")
 
     def verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
@@ -285,7 +286,13 @@ class _Join:
         wanted = F.broadcast(roles.select(slot.alias("slot")).distinct())
         texts = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot).join(wanted, "slot", "left_semi").drop("slot")
         sent = roles.join(texts, "doc_id").select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-        return self.scratch.save(sent.mapInArrow(_verify(self.words, self.orders, self.n_orders), "u long, v long"), name)
+        return self.scratch.save(sent.mapInArrow(_verify(self.words, self.percent), "u long, v long"), name)
+
+    def must_share(self, a: str, b: str) -> Column:
+        """How many prefix shingles linked sets of these sizes share at least under each order."""
+        both = F.floor((self.percent * (F.col(a) + F.col(b)) + 99 + self.percent) / F.lit(100 + self.percent))
+        spare = [F.least(F.col(n) - 1, F.col(n) - F.floor((self.percent * F.col(n) + 99) / F.lit(100)) + F.floor(F.col(n) / F.lit(_EXTRA))) + 1 - F.col(n) for n in (a, b)]
+        return both + F.least(*spare)
 
     def run(self) -> DataFrame:
         info, shingles = self.sketch()
@@ -293,16 +300,23 @@ class _Join:
         shared = self.candidates(shingles)
         nodes = has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
         nodes = self.scratch.save(nodes.select("node", "rep", "n"), "nodes")
+        sizes = nodes.select("node", "n")
         least = shared.groupBy("token").agg(F.min("node").alias("a"))
-        stars = self.scratch.save(shared.join(least, "token").where("node != a").select("a", F.col("node").alias("b")).distinct(), "stars")
+        near = shared.join(least, "token").where("node != a").groupBy("node", "a").agg(F.count("*").alias("both"))
+        best = near.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m")).join(sizes, "node")
+        # a star is a guess that the second step makes good, so guesses that can't be right are left out
+        stars = self.scratch.save(best.where(F.col("m.both") * _EXTRA >= F.col("n") * self.n_orders).select(F.col("m.a").alias("a"), F.col("node").alias("b")), "stars")
         links = self.verify(stars, nodes, "links")
         roots = self.scratch.save(components(links, self.scratch, "cc1"), "roots1")
-        placed = shared.join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = shared.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
         open_ = self.scratch.save(placed.join(split, "token"), "open")
         x, y = open_.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), open_.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
         across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
-        rest = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+        each = [F.count(F.when(F.col("token").bitwiseAND(3) == k, 1)).alias(f"s{k}") for k in range(self.n_orders)]
+        across = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), *each)
+        rest = across.where(F.least(*(f"s{k}" for k in range(self.n_orders)), F.lit(1 << 60).cast("long")) >= self.must_share("na", "nb")).select("a", "b")
+        rest = rest.join(stars, ["a", "b"], "left_anti")
         more = self.verify(self.scratch.save(rest, "rest"), nodes, "links2")
         lifted = more.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("u", F.coalesce("root", "u")).drop("root")
         lifted = lifted.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("v", F.coalesce("root", "v")).select("u", "v")
@@ -317,6 +331,6 @@ class _Join:
         return result
 
 
-def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, n_orders: int = 3, sketch_bits: int = 21) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, n_orders: int = 2, sketch_bits: int = 21) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the least id reachable by links."""
     return _Join(docs, doc_id, text, words, percent, n_orders, sketch_bits).run()

@@ -175,7 +175,9 @@ def shingle_sets(part: TextSlice, size: int, word_byte: np.ndarray = NOT_SPACE)
     bounds = found.row_offsets.tolist()
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
-            yield np.unique(runs[a : b - size + 1])
+            own = np.sort(runs[a : b - size + 1])
+            new = own[1:] != own[:-1]
+            yield own if new.all() else np.concatenate([own[:1], own[1:][new]])
         elif b > a:
             yield window_hashes(words[a:b], b - a)
         else:
