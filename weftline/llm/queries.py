@@ -126,6 +126,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.quality import held_out, score_quality, train_quality
 
@@ -143,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "license_notices": license_notices,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
+        "op9_warc": op9_warc,
         "op10_quality": op10_quality,
     }
 
