@@ -334,3 +334,16 @@ class _Join:
 def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, n_orders: int = 2, sketch_bits: int = 21) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the least id reachable by links."""
     return _Join(docs, doc_id, text, words, percent, n_orders, sketch_bits).run()
+
+
+def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that have their class's least id, once each, with the columns of `docs`.
+
+    Rows with a null id are in no class and stay; rows with one id but different texts are different documents.
+    """
+    classes = near_duplicate_classes(docs, doc_id=doc_id, text=text, **options)
+    least = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__least")).distinct()
+    mark = "__text_hash"
+    named = docs.where(F.col(doc_id).isNotNull()).join(least, F.col(doc_id) == F.col("__least"), "left_semi")
+    named = named.withColumn(mark, F.xxhash64(text)).dropDuplicates([doc_id, mark]).drop(mark)
+    return named.unionByName(docs.where(F.col(doc_id).isNull()))

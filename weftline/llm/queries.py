@@ -14,6 +14,32 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT c.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id
+"""
+
+
+#: The rules that the pages are judged by.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.url_filter import filter_urls
+
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.decontaminate import add_contamination
 
@@ -111,6 +137,12 @@ SELECT doc_id, CAST(line AS BIGINT) AS line, license_id FROM l JOIN known ON sha
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.token_counts import count_document_tokens
+
+    return count_document_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.packing import pack
 
@@ -143,10 +175,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_ngram_join": op4_ngram_join,
         "op5_license_scan": op5_license_scan,
         "license_notices": license_notices,
+        "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
@@ -156,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": OP1_SQL,
         "op3_decontaminate": OP3_SQL,
         "op4_ngram_join": OP4_SQL,
         "op5_license_scan": _op5_sql(),
