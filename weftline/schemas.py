@@ -1,0 +1,16 @@
+"""Declared schemas of the prepared tables; nothing is inferred."""
+
+from __future__ import annotations
+
+SUBJECTS = (
+    "subject_id string, source_group string, label_name string, label_id int, eligible boolean, exclusion_reason string, "
+    "post_count bigint, media_count bigint, first_post_at timestamp_ntz, last_post_at timestamp_ntz"
+)
+POSTS = (
+    "subject_id string, post_id string, published_at timestamp_ntz, cleaned_text string, contains_study_keyword boolean, "
+    "likes bigint, comments bigint, reposts bigint, metadata_vector array<double>"
+)
+MEDIA = "subject_id string, media_id string, post_id string, kind string, ordinal int, extension string"
+FEATURES = "subject_id string, pos int, post_id string, metadata array<double>, representation string, embedding array<float>, has_text boolean, has_image boolean, has_live_photo boolean"
+ASSIGNMENTS = "split_seed int, outer_fold int, subject_id string, label_name string, label_id int, role string, available_post_count bigint, selected_post_count bigint"
+PREDICTIONS = "experiment string, split_seed int, outer_fold int, subject_id string, role string, label int, decision_value double, score double, prediction int, threshold double"
