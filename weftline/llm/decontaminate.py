@@ -129,6 +129,7 @@ class _Windows:
 
 
 def _counting(column: str, tokens: np.ndarray, sizes: list[int]):
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, total = _Lookup(tokens), np.zeros(len(tokens), np.int64)
         for batch in batches:
@@ -205,6 +206,7 @@ def _judge(part: tb.TextSlice, look: _Lookup, index: dict, before: list | None)
 
 
 def _judging(column: str, out: str, shared, chained: bool):
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         look = _Lookup(index["keys"])

@@ -70,6 +70,7 @@ def trigrams(part: tb.TextSlice, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
 
 
 def _counting(languages: list[str], bits: int):
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {v: k for k, v in enumerate(languages)}
         total = np.zeros((len(languages), 1 << bits), np.int64)
@@ -153,6 +154,7 @@ def infer(row: np.ndarray, slot: np.ndarray, n: np.ndarray, model: LanguageModel
 def _judging(text: str, has_letter: str, out: str, shared):
     fields = [pa.field("lang", pa.string()), pa.field("score", pa.float64()), pa.field("mixture", pa.map_(pa.string(), pa.float64()))]
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
         size = max(1 << 16, tb.SLICE_BYTES * 4 // max(4, len(model.languages)))

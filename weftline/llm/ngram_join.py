@@ -9,16 +9,19 @@ when `100 * |A & B| >= percent * |A | B|`.  The join is lossless:
   short of the k that their sizes demand.
 * Several global orders.  All orders put shingles of many documents last and
   break ties by different hashes.  How common a shingle is comes from a counting
-  sketch over all documents: 2**sketch_bits counters, whatever the corpus, so it
-  may be broadcast, and any content keeps the filter lossless.  A candidate pair
+  sketch over all documents, a counter per 64 bytes of text but 2**23 at most, so
+  it may be broadcast; any content of it keeps the filter lossless.  A candidate pair
   must share k prefix shingles under every order before its sets are compared.
 * Representatives.  Documents with equal sets are one node (a digest), so copies
   never meet each other.
-* Connectivity instead of pairs.  First every node is compared with one other,
-  of those that are least at its prefix shingles the one most frequent there;
-  these stars link the groups of near copies in linear work.  Then only pairs that share a prefix shingle across
-  different components are left, and all of these are compared.  What is skipped
-  is connected already, so the classes are exact.
+* Connectivity instead of pairs.  First every node is compared with one other:
+  each prefix shingle is led by the node that meets most others, and a node's
+  star centre leads most of its shingles; these stars link the groups of near
+  copies in linear work.  Then only pairs that share a prefix shingle across
+  different components are left, and all of these are compared: at shingles of
+  few nodes pair by pair, at the others by products of blocks of their leader's
+  nodes that aren't in the main component with blocks of all of them.  What is
+  skipped is connected already, so the classes are exact.
 
 The texts of a candidate group are streamed past its leader's set in one task; a
 leader of many candidates is dealt to several tasks.
@@ -31,7 +34,6 @@ that repeat an id are returned one by one, with the class of their text.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +43,19 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textbytes as tb
 from weftline.llm.components import components
+from weftline.llm.packed import pack_counts, sum_counts, unpack_counts
 from weftline.llm.scratch import Scratch
 
-_CHUNKS = 32
+_CHUNKS = 128
 _SEEDS = [0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89]
 #: A prefix is longer than necessary by the set's size over this.
 _EXTRA = 25
 #: Postings of a very common shingle are dealt to buckets of about so many.
-_BUCKET = 500_000
+_BUCKET = 250_000
+#: At a shingle of more nodes, nodes are compared by blocks.
+_FEW = 48
+#: Nodes on either side of a block.
+_SIDE = 256
 #: Candidates that one task compares with a leader.
 _GROUP = 2000
 
@@ -64,8 +71,9 @@ def _node(digest: bytes) -> int:
 def _scan(words: int, bits: int):
     """Per document its set's size and digest; per task the sketch of its shingles."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)  # a task's counts stop at the largest; what is common stays common
         id_type = None
         for batch in batches:
             sizes, digests, nodes, held, n_held = [], [], [], [], 0
@@ -79,14 +87,16 @@ def _scan(words: int, bits: int):
                     held.append(own)
                     n_held += len(own)
             if n_held:
-                slot = (np.concatenate(held) & np.uint64((1 << bits) - 1)).astype(np.int64)
-                counts += np.bincount(slot, minlength=1 << bits).astype(np.uint32)
+                slot = np.sort((np.concatenate(held) & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
+                slot, more = slot[first], np.diff(np.append(first, len(slot)))
+                counts[slot] = np.minimum(counts[slot] + more, 65535)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
                 ["doc_id", "n", "digest", "node", "chunk", "counts"],
             )
         if id_type is not None and counts.any():
-            packed = [zlib.compress(c.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1) for c in np.split(counts, _CHUNKS)]
+            packed = [pack_counts(c) for c in np.split(counts, _CHUNKS)]
             none = pa.nulls(_CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(_CHUNKS, id_type), none, pa.nulls(_CHUNKS, pa.binary()), none, pa.array(range(_CHUNKS), pa.int32()), pa.array(packed, pa.binary())],
@@ -96,22 +106,20 @@ def _scan(words: int, bits: int):
     return run
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return raw.T.copy().view("<u4").ravel().astype(np.int64)
-
-
-def _add_sketches(table: pa.Table) -> pa.Table:
-    total = sum(_unpack(c.as_py()) for c in table.column("counts"))
-    return pa.table({"chunk": table.column("chunk")[:1], "total": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
+def _classing(mean: float):
+    """Summed counters to classes: 0 for those within noise of the mean, else one that grows with the count, two to an octave."""
 
+    @tb.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for packed in batch.column(1):
+                over = unpack_counts(packed.as_py()) - mean
+                cls = np.maximum(np.ceil(2 * np.log2(np.maximum(over, 1.0))), 1)
+                out.append(np.where(over <= 5 * mean**0.5 + 4, 0, cls).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "classes"])
 
-def _classes(total: np.ndarray) -> np.ndarray:
-    """0 for counters within noise of the mean, else a class that grows with the count (two to an octave)."""
-    mean = float(total.mean()) if len(total) else 0.0
-    over = total - mean
-    out = np.ceil(2 * np.log2(np.maximum(over, 1.0)))
-    return np.where(over <= 5 * mean**0.5 + 4, 0, np.maximum(out, 1)).astype(np.uint8)
+    return run
 
 
 class _Orders:
@@ -136,6 +144,7 @@ class _Orders:
 def _postings(words: int, shared, buckets: int, n_orders: int):
     """(bucket, salted, shingles, nodes): the prefixes of each distinct set in the task; a shingle's low bits are the order."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders: _Orders = shared.value
         seen: set[int] = set()
@@ -178,7 +187,7 @@ def _postings(words: int, shared, buckets: int, n_orders: int):
                         tokens.append(some)
                         nodes.append(np.full(len(some), node, np.int64))
                         held += len(some)
-                    if held > 1_000_000:
+                    if held > 500_000:
                         yield from flush()
         yield from flush()
 
@@ -187,7 +196,7 @@ def _postings(words: int, shared, buckets: int, n_orders: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Postings of shingles that several nodes have (or, where salted, may have)."""
-    keep_t, keep_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    keep_t, keep_v, keep_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     salted = np.asarray(table.column("salted"))
     columns = [table.column(c).combine_chunks() for c in ("tokens", "nodes")]
     for flag in (0, 1):
@@ -200,14 +209,16 @@ def _shared(table: pa.Table) -> pa.Table:
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
         t, v = t[new], v[new]
-        if not flag:
-            same = np.zeros(len(t) + 1, bool)
-            same[1:-1] = t[1:] == t[:-1]
-            several = same[1:] | same[:-1]
-            t, v = t[several], v[several]
-        keep_t.append(t)
-        keep_v.append(v)
-    return pa.table({"token": np.concatenate(keep_t), "node": np.concatenate(keep_v)})
+        first = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1])
+        n = np.diff(np.append(first, len(t)))
+        n = np.repeat(n, n)
+        keep = slice(None) if flag else n > 1
+        keep_t.append(t[keep])
+        keep_v.append(v[keep])
+        keep_n.append(n[keep])
+    out = pa.table({"token": np.concatenate(keep_t), "node": np.concatenate(keep_v), "met": np.concatenate(keep_n)})
+    tb.release()
+    return out
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,6 +235,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _verify(words: int, percent: int):
     """Streams (a, salt, kind, node, text), leaders first in each (a, salt); yields which candidates link."""
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, lead = None, None
         for batch in batches:
@@ -251,73 +263,148 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _block_links(words: int, percent: int):
+    """Links between two blocks of texts of one leader, at most one for each node and component of the other side."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, root, node = (np.asarray(table.column(c)) for c in ("side", "root", "node"))
+        sets: list[np.ndarray] = []
+        for part in tb.slices(table.column("text")):
+            sets.extend(tb.shingle_sets(part, words))
+        good = np.array([len(x) > 0 and _node(_digest(x)) == v for x, v in zip(sets, node.tolist(), strict=True)], bool)
+        left, right = np.flatnonzero((side == 0) & good), np.flatnonzero((side == 1) & good)
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        if not len(left) or not len(right):
+            return none
+        flat = [np.concatenate([sets[r] for r in rows]) for rows in (left, right)]
+        vocabulary = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(vocabulary), 8192):
+            some = vocabulary[at : at + 8192]
+            dense = []
+            for rows, values in zip((left, right), flat, strict=True):
+                k = np.searchsorted(some, values)
+                k[k == len(some)] = 0
+                hit = some[k] == values
+                m = np.zeros((len(rows), len(some)), np.float32)
+                m[np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])[hit], k[hit]] = 1
+                dense.append(m)
+            both += dense[0] @ dense[1].T
+        size = np.array([len(x) for x in sets], np.int64)
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
+        i, j = np.nonzero(linked)
+        pairs = np.unique(np.stack([i, root[right][j]]), axis=1, return_index=True)[1]
+        return pa.table({"u": node[left][i[pairs]], "v": node[right][j[pairs]]})
+
+    return run
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int, n_orders: int, bits: int):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int, n_orders: int):
         self.scratch = Scratch(docs.sparkSession, "ngram")
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        self.words, self.percent, self.n_orders, self.bits = words, percent, n_orders, bits
+        self.words, self.percent, self.n_orders = words, percent, n_orders
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.bits = min(23, max(16, (int(size) // 64).bit_length()))
 
     def sketch(self) -> tuple[DataFrame, int]:
         """Sizes and digests of all documents; broadcasts the orders."""
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         scanned = self.scratch.save(self.docs.mapInArrow(_scan(self.words, self.bits), f"doc_id {kind}, n long, digest binary, node long, chunk int, counts binary"), "scan")
-        parts = scanned.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_sketches, "chunk int, total binary").collect()
-        total = np.zeros((_CHUNKS, (1 << self.bits) // _CHUNKS), np.int64)
-        for r in parts:
-            total[r["chunk"]] = np.frombuffer(zlib.decompress(r["total"]), "<i8")
-        self.orders = self.docs.sparkSession.sparkContext.broadcast(_Orders(_classes(total.ravel()), self.percent))
-        return scanned.where("chunk IS NULL").select("doc_id", "n", "digest", "node"), int(total.sum())
+        shingles = int(scanned.agg(F.sum("n")).first()[0] or 0)
+        sums = sum_counts(scanned.where("chunk IS NOT NULL").select(F.col("chunk").alias("key"), "counts"))
+        classes = np.zeros((_CHUNKS, (1 << self.bits) // _CHUNKS), np.uint8)
+        for r in sums.mapInArrow(_classing(shingles / (1 << self.bits)), "key int, classes binary").collect():
+            classes[r["key"]] = np.frombuffer(r["classes"], np.uint8)
+        self.orders = self.docs.sparkSession.sparkContext.broadcast(_Orders(classes.ravel(), self.percent))
+        return scanned.where("chunk IS NULL").select("doc_id", "n", "digest", "node"), shingles
 
     def candidates(self, shingles: int) -> DataFrame:
         """Prefix shingles with the nodes that share them."""
         buckets = max(16, -(-shingles * self.n_orders * (105 - self.percent) // 100 // _BUCKET))
         texts = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text")
         posted = texts.mapInArrow(_postings(self.words, self.orders, buckets, self.n_orders), "bucket long, salted long, tokens binary, nodes binary")
-        return self.scratch.save(posted.groupBy("bucket").applyInArrow(_shared, "token long, node long"), "shared")
+        return self.scratch.save(posted.groupBy("bucket").applyInArrow(_shared, "token long, node long, met long"), "shared")
+
+    def with_text(self, roles: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """`roles` (node and more) with the text of each node's representative."""
+        roles = self.scratch.save(roles.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), f"{name}-roles")
+        # documents that no role needs stay out of the shuffle: a table of at most 2**20 slots
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+        wanted = F.broadcast(roles.select(slot.alias("slot")).distinct())
+        texts = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot).join(wanted, "slot", "left_semi").drop("slot")
+        return roles.join(texts, "doc_id").drop("doc_id")
 
     def verify(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of nodes that link, as (u, v)."""
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(_GROUP)).alias("parts"))
         dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
         roles = dealt.select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("node")).unionByName(dealt.select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("node")).distinct())
-        roles = self.scratch.save(roles.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), f"{name}-roles")
-        # documents that can't be in any pair stay out of the shuffle: a table of at most 2**20 slots
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-        wanted = F.broadcast(roles.select(slot.alias("slot")).distinct())
-        texts = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot).join(wanted, "slot", "left_semi").drop("slot")
-        sent = roles.join(texts, "doc_id").select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+        sent = self.with_text(roles, nodes, name).select("a", "salt", "kind", "node", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
         return self.scratch.save(sent.mapInArrow(_verify(self.words, self.percent), "u long, v long"), name)
 
+    def compare_blocks(self, members: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """Links across components among the nodes of each leader: members (a, node, root)."""
+        sizes = members.groupBy("a", "root").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("a").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"))
+        parts = main.select("a", F.col("m.root").alias("main"), F.ceil((F.col("all") - F.col("m.k")) / F.lit(_SIDE)).alias("nu"), F.ceil(F.col("all") / F.lit(_SIDE)).alias("nv"))
+        placed = members.join(parts, "a")
+        u, v = F.pmod(F.xxhash64("node"), F.col("nu")), F.pmod(F.xxhash64("node"), F.col("nv"))
+        zero = F.lit(0).cast("long")
+        left = placed.where("root != main").select("a", u.alias("i"), F.explode(F.sequence(zero, F.col("nv") - 1)).alias("j"), F.lit(0).alias("side"), "node", "root")
+        right = placed.where("nu > 0").select("a", F.explode(F.sequence(zero, F.col("nu") - 1)).alias("i"), v.alias("j"), F.lit(1).alias("side"), "node", "root")
+        sent = self.with_text(left.unionByName(right), nodes, name).select("a", "i", "j", "side", "node", "root", "text")
+        return self.scratch.save(sent.groupBy("a", "i", "j").applyInArrow(_block_links(self.words, self.percent), "u long, v long"), name)
+
     def must_share(self, a: str, b: str) -> Column:
         """How many prefix shingles linked sets of these sizes share at least under each order."""
         both = F.floor((self.percent * (F.col(a) + F.col(b)) + 99 + self.percent) / F.lit(100 + self.percent))
         spare = [F.least(F.col(n) - 1, F.col(n) - F.floor((self.percent * F.col(n) + 99) / F.lit(100)) + F.floor(F.col(n) / F.lit(_EXTRA))) + 1 - F.col(n) for n in (a, b)]
         return both + F.least(*spare)
 
+    def by_order(self) -> list[Column]:
+        return [F.count(F.when(F.col("token").bitwiseAND(3) == k, 1)).alias(f"s{k}") for k in range(self.n_orders)]
+
+    def able(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Postings of the nodes that share enough under every order to link with any other: (token, node, n, rank)."""
+        stats = shared.groupBy("node").agg(F.sum("met").alias("degree"), *self.by_order()).join(nodes.select("node", "n"), "node")
+        enough = F.lit(1) + F.floor(self.percent * F.col("n") / F.lit(100 * _EXTRA))
+        least = F.least(*(f"s{k}" for k in range(self.n_orders)), F.lit(1 << 60).cast("long"))
+        fit = stats.where(least >= enough).select("node", "n", F.struct("degree", "node").alias("rank"))
+        return shared.select("token", "node").join(fit, "node")
+
     def run(self) -> DataFrame:
         info, shingles = self.sketch()
         has = info.where("node IS NOT NULL AND doc_id IS NOT NULL")
         shared = self.candidates(shingles)
         nodes = has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("node").alias("node"))
         nodes = self.scratch.save(nodes.select("node", "rep", "n"), "nodes")
-        sizes = nodes.select("node", "n")
-        least = shared.groupBy("token").agg(F.min("node").alias("a"))
-        near = shared.join(least, "token").where("node != a").groupBy("node", "a").agg(F.count("*").alias("both"))
-        best = near.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m")).join(sizes, "node")
+        kept = self.scratch.save(self.able(shared, nodes), "kept")
+        lead = kept.groupBy("token").agg(F.max("rank").alias("lead"), F.count("*").alias("m")).where("m > 1")
+        # the node that meets most others, the original of a group of near copies, leads it
+        near = kept.join(lead, "token").where("rank < lead").groupBy("node", F.col("lead.node").alias("a")).agg(F.count("*").alias("both"), F.first("n").alias("n"))
+        best = near.groupBy("node").agg(F.max(F.struct("both", "a")).alias("m"), F.first("n").alias("n"))
         # a star is a guess that the second step makes good, so guesses that can't be right are left out
         stars = self.scratch.save(best.where(F.col("m.both") * _EXTRA >= F.col("n") * self.n_orders).select(F.col("m.a").alias("a"), F.col("node").alias("b")), "stars")
         links = self.verify(stars, nodes, "links")
         roots = self.scratch.save(components(links, self.scratch, "cc1"), "roots1")
-        placed = shared.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-        open_ = self.scratch.save(placed.join(split, "token"), "open")
-        x, y = open_.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), open_.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+        placed = kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+        split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.max("rank").alias("lead"), *marks).where("lo != hi")
+        # the shingles of a passage have the same nodes: one of them stands for all, with their number under each order
+        alike = split.groupBy("m", "x1", "x2").agg(F.min("token").alias("token"), F.max("lead.node").alias("lead"), *self.by_order())
+        weights = [f"s{k}" for k in range(self.n_orders)]
+        open_ = self.scratch.save(placed.join(alike.drop("x1", "x2"), "token").select("token", "node", "root", "n", "m", "lead", *weights), "open")
+        few = open_.where(F.col("m") <= _FEW)
+        x, y = few.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), *weights), few.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
         across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
-        each = [F.count(F.when(F.col("token").bitwiseAND(3) == k, 1)).alias(f"s{k}") for k in range(self.n_orders)]
-        across = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), *each)
+        across = across.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), *(F.sum(w).alias(w) for w in weights))
+        # what a pair shares at shingles of many nodes isn't counted here, but such pairs are all compared below
         rest = across.where(F.least(*(f"s{k}" for k in range(self.n_orders)), F.lit(1 << 60).cast("long")) >= self.must_share("na", "nb")).select("a", "b")
-        rest = rest.join(stars, ["a", "b"], "left_anti")
-        more = self.verify(self.scratch.save(rest, "rest"), nodes, "links2")
+        more = self.verify(self.scratch.save(rest.join(stars, ["a", "b"], "left_anti"), "rest"), nodes, "links2")
+        crowd = self.scratch.save(open_.where(F.col("m") > _FEW).select(F.col("lead").alias("a"), "node", "root").distinct(), "crowd")
+        more = more.unionByName(self.compare_blocks(crowd, nodes, "links3"))
         lifted = more.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("u", F.coalesce("root", "u")).drop("root")
         lifted = lifted.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("v", F.coalesce("root", "v")).select("u", "v")
         roots2 = self.scratch.save(components(lifted, self.scratch, "cc2"), "roots2")
@@ -327,13 +414,13 @@ class _Join:
         classes = final.join(named, "root").select("node", "component_id").groupBy("node").agg(F.min("component_id").alias("component_id"))
         out = info.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         result = self.scratch.save(out, "result")
-        self.scratch.drop("scan", "shared", "nodes", "stars", "stars", "links", "links-roles", "roots1", "open", "rest", "links2", "links2-roles", "roots2")
+        self.scratch.drop(*("scan shared nodes kept stars links links-roles roots1 open rest links2 links2-roles crowd links3 links3-roles roots2".split()))
         return result
 
 
-def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, n_orders: int = 2, sketch_bits: int = 21) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, n_orders: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the least id reachable by links."""
-    return _Join(docs, doc_id, text, words, percent, n_orders, sketch_bits).run()
+    return _Join(docs, doc_id, text, words, percent, n_orders).run()
 
 
 def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

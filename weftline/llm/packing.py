@@ -124,6 +124,7 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[Piece]]:
 
 
 def _packing(tokenizer: str, end_id: int, capacity: int, group_tokens: int, with_ids: bool):
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = WordBPE(tokenizer), np.array([end_id], np.uint32)
         docs: list[tuple[object, np.ndarray]] = []

@@ -130,6 +130,7 @@ def statistics(part: tb.TextSlice) -> np.ndarray:
 def _measure(text: str, out: str):
     kinds = pa.struct([(k, pa.float64()) for k in STATISTICS])
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [statistics(p) for p in tb.slices(batch.column(text))]

@@ -9,14 +9,19 @@ itself, so texts are always processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a few 8-byte temporaries per byte are alive.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+
+# the system's allocator gives large blocks back at once; the default one keeps them in every worker
+pa.set_memory_pool(pa.system_memory_pool())
 
 _U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -68,6 +73,27 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def lean(run: Callable) -> Callable:
+    """A batch function after which the worker, which Spark keeps for other tasks, holds no memory of its own."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return out
+
+
+def release() -> None:
+    """Gives memory that is free back to the system."""
+    _POWERS.__init__()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+
 @dataclass
 class TextSlice:
     """Some consecutive rows of a text column."""

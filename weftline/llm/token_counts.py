@@ -34,6 +34,7 @@ BLOCK_IDS = 1 << 19
 
 
 def _writing(folder: str, tokenizer: str, separator: int, dtype: str, file_ids: int):
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -101,6 +102,7 @@ _BLOCK = "file string, block long, ids long, ends long, head long, tail long, in
 def _finding(separator: int, dtype: str):
     kind = np.dtype(dtype)
 
+    @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ends, head, tail, inner = [], [], [], [], []
