@@ -1,7 +1,9 @@
 """Near-duplicate vectors against all pairs by brute force."""
 
 import numpy as np
+import pytest
 
+from weftline.llm import embed_dedup
 from weftline.llm.embed_dedup import near_duplicate_vectors, passes_needed
 
 
@@ -45,6 +47,33 @@ def test_groups_chains_and_awkward_rows(spark):
     _check(spark, rows, window=8)
 
 
+@pytest.mark.parametrize("cosine", [0.85, 0.9, 0.93])
+def test_hot_direction(spark, cosine):
+    # rows about one direction, mostly unlinked, with planted pairs; beside them others and a tight group
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(np.sqrt(cosine) * unit(rng.standard_normal(64)) + np.sqrt(1 - cosine) * unit(rng.standard_normal((700, 64))))
+    aside = rng.standard_normal((100, 64))
+    aside = unit(aside - (aside * hot[:100]).sum(axis=1, keepdims=True) * hot[:100])
+    planted = 0.952 * hot[:100] + np.sqrt(1 - 0.952**2) * aside
+    tight = unit(hot[200] + 0.01 * rng.standard_normal((300, 64)))
+    x = rng.permutation(np.concatenate([hot, planted, tight, unit(rng.standard_normal((900, 64)))]))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while (least := np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))).tolist() != label.tolist():
+        label = least
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(df, window=4).collect())
+    assert got == [(i, int(near[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
+
+
+def test_blocks_of_crowded_runs(spark, monkeypatch):
+    # blocks smaller than runs and components: pairs of blocks of all kinds
+    monkeypatch.setattr(embed_dedup, "_RUN_BLOCK", 50)
+    test_hot_direction(spark, 0.9)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicate_vectors(df).count() == 0

@@ -4,8 +4,14 @@ Each pass hashes every vector by the signs of random projections, concatenated t
 a key of 64 bits, orders all vectors by it and compares each with the `window`
 before it.  Pairs at or above the threshold, verified by cosine in double
 precision, are links; the passes' links are united and their connected
-components found.  How many passes there are follows from the number of vectors,
-so that a pair just at the threshold is missed by all with probability `miss`.
+components found.
+
+Vectors that share the first `bits_needed` bits of a key are a run.  A run of up to
+`window` + 1 rows is compared whole by its windows; one that has more, as where many
+vectors lie about one direction, is then compared whole too, in blocks, except for
+pairs whose component is already the same.  So a pair at or above the threshold is
+found once it shares a run, however vectors are spread, and there are so many passes
+that a pair just at the threshold shares none with probability `miss`.
 
 Bounded windows can't list all pairs of a group larger than they are, so the
 links of a vector are counted exactly within its component: an angle to the
@@ -32,13 +38,19 @@ from weftline.llm.components import components
 from weftline.llm.scratch import Scratch
 
 _BLOCK = 1000
+_RUN_BLOCK = 4000
 _SLACK = 1e-6
 
 
+def bits_needed(n: int, window: int) -> int:
+    """Leading bits that make a run: evenly spread vectors have half a window's rows in one, or fewer."""
+    return int(np.ceil(np.log2(max(2.0, n / window)))) + 1
+
+
 def passes_needed(n: int, threshold: float, window: int, miss: float) -> int:
-    """Passes after which a pair at the threshold has never been within a window with probability `miss`."""
+    """Passes after which a pair at the threshold has never shared a run with probability `miss`."""
     agree = 1 - np.arccos(threshold) / np.pi
-    found = agree ** np.log2(max(2.0, n / window))
+    found = agree ** bits_needed(n, window)
     return int(np.ceil(np.log(miss) / np.log1p(-min(found, 0.999)))) + 1
 
 
@@ -56,8 +68,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashing(passes: int, seed: int):
-    """(pass, dim, key, node, vector) of each vector for each pass."""
+def _hashing(passes: int, seed: int, last: str = "vector"):
+    """(node, dim, vector) or (node, dim, vector, root) to (pass, dim, key, node, `last`) of each vector for each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -70,7 +82,7 @@ def _hashing(passes: int, seed: int):
                 signs = (_matrix(part.column(2)).astype(np.float32) @ planes[dim] > 0).reshape(part.num_rows, passes, 64)
                 keys = np.packbits(signs, axis=2).reshape(part.num_rows, passes, 8).copy().view(">i8")[..., 0].astype(np.int64)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p), pa.int32()), part.column(1), pa.array(keys[:, p]), part.column(0), part.column(2)], ["pass", "dim", "key", "node", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p), pa.int32()), part.column(1), pa.array(keys[:, p]), part.column(0), part.column(last)], ["pass", "dim", "key", "node", last])
 
     return run
 
@@ -143,6 +155,93 @@ def _compare(window: int, threshold: float, edges_out: bool):
     return run
 
 
+def _compare_blocks(threshold: float):
+    """Rows sorted by pass, dim, run, a, b and side: links (u, v) between the roots of near rows, at most a spanning forest of each pair of blocks'."""
+    group = ["pass", "dim", "run", "a", "b"]
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        side, roots, x = np.asarray(rows.column("side")), np.asarray(rows.column("root")), _matrix(rows.column("vector").combine_chunks())
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        other = x[right].T
+        label: dict[int, int] = {}
+        u, v = [], []
+
+        def top(r: int) -> int:
+            while label.setdefault(r, r) != r:
+                label[r] = label[label[r]]
+                r = label[r]
+            return r
+
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            i, j = np.nonzero((x[part] @ other >= threshold) & (roots[part][:, None] != roots[right][None, :]))
+            for a, b in np.unique(np.stack([roots[part[i]], roots[right[j]]], axis=1), axis=0).tolist():
+                ra, rb = top(a), top(b)
+                if ra != rb:
+                    label[ra] = rb
+                    u.append(a)
+                    v.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(n)).astype(np.int64) for n in group], axis=1)
+            starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *starts.tolist(), batch.num_rows]
+            if kept and (keys[0] != last).any():
+                yield links(pa.Table.from_batches(kept))
+                kept = []
+            for at, to in zip(bounds[:-1], bounds[1:], strict=True):
+                kept.append(batch.slice(at, to - at))
+                if to < batch.num_rows:
+                    yield links(pa.Table.from_batches(kept))
+                    kept = []
+            last = keys[-1]
+        if kept:
+            yield links(pa.Table.from_batches(kept))
+
+    return run
+
+
+def _crowded_links(nodes: DataFrame, roots: DataFrame, passes: int, bits: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """(u, v): roots with near vectors among the rows of runs that windows don't compare whole.
+
+    Rows of a run are dealt to blocks, those of a component larger than a block to
+    blocks of its own, so that pairs of blocks within one component are left out.
+    """
+    run = ["pass", "dim", "run"]
+    rooted = nodes.select("node", F.size("vector").alias("dim"), "vector").join(roots, "node", "left").select("node", "dim", "vector", F.coalesce("root", "node").alias("root"))
+    hashed = rooted.mapInArrow(_hashing(passes, seed, "root"), "pass int, dim int, key long, node long, root long")
+    hashed = hashed.select("pass", "dim", F.shiftright("key", 64 - bits).alias("run"), "node", "root")
+    tally = hashed.groupBy(*run, "root").agg(F.count("*").alias("own"))
+    loose = F.when(F.col("own") <= _RUN_BLOCK, F.col("own")).otherwise(0)
+    crowded = tally.groupBy(*run).agg(F.sum("own").alias("rows"), F.count("*").alias("groups"), F.sum(loose).alias("loose"))
+    crowded = crowded.where((F.col("rows") > window + 1) & (F.col("groups") > 1)).select(*run, F.ceil(F.col("loose") / F.lit(_RUN_BLOCK)).alias("blocks"))
+    large = tally.where(F.col("own") > _RUN_BLOCK).select(*run, "root", F.ceil(F.col("own") / F.lit(_RUN_BLOCK)).alias("parts"))
+    rows = hashed.join(crowded, run).join(large, [*run, "root"], "left")
+    hashed_node = F.xxhash64("node")
+    own = F.xxhash64("root", F.pmod(hashed_node, F.col("parts")))
+    rows = rows.select(*run, "node", "root", F.when(F.col("parts").isNotNull(), own).otherwise(F.pmod(hashed_node, F.col("blocks"))).alias("block"))
+
+    def numbers(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    shared = crowded.where("blocks > 0").select(*run, F.lit(None).cast("long").alias("owner"), numbers("blocks").alias("block"))
+    owned = large.join(crowded.select(*run), run).select(*run, F.col("root").alias("owner"), numbers("parts").alias("part"))
+    blocks = shared.unionByName(owned.select(*run, "owner", F.xxhash64("owner", "part").alias("block")))
+    first, second = blocks.withColumnRenamed("block", "a"), blocks.select(*run, F.col("owner").alias("other"), F.col("block").alias("b"))
+    pairs = first.join(second, run).where((F.col("a") <= F.col("b")) & (F.col("owner").isNull() | F.col("other").isNull() | (F.col("owner") != F.col("other")))).select(*run, "a", "b")
+    ends = pairs.select(*run, F.col("a").alias("block"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.where("a != b").select(*run, F.col("b").alias("block"), "a", "b", F.lit(1).alias("side")))
+    dealt = rows.join(ends, [*run, "block"]).select(*run, "a", "b", "side", "node", "root").join(nodes.select("node", "vector"), "node").drop("node")
+    dealt = dealt.repartition(*run, "a", "b").sortWithinPartitions(*run, "a", "b", "side")
+    return dealt.mapInArrow(_compare_blocks(threshold), "u long, v long")
+
+
 def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root, mult, vector, mean) to (node, root, mult, vector, angle)."""
     for batch in batches:
@@ -222,19 +321,24 @@ def near_duplicate_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str
     keyed = rows.withColumn("k", key)
     kind = rows.schema["vector"].dataType.simpleString()
     nodes = scratch.save(keyed.where("k IS NOT NULL").groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("vector").alias("vector")).withColumn("node", F.col("k.a")), "nodes")
-    passes = passes_needed(nodes.count(), threshold, window, miss)
+    n = nodes.count()
+    passes = passes_needed(n, threshold, window, miss)
     hashed = nodes.select("node", F.size("vector").alias("dim"), "vector").mapInArrow(_hashing(passes, seed), f"pass int, dim int, key long, node long, vector {kind}")
     ordered = hashed.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
     once = scratch.save(ordered.mapInArrow(_compare(window, threshold, True), _EDGE + kind), "windows")
     seam = once.where("u IS NULL").select("pass", "dim", "key", "node", "vector").dropDuplicates(["pass", "node", "key"]).repartition("pass").sortWithinPartitions("pass", "dim", "key", "node")
     more = seam.mapInArrow(_compare(window, threshold, False), _EDGE + kind)
     links = once.where("u IS NOT NULL").select("u", "v").unionByName(more.where("u IS NOT NULL").select("u", "v"))
-    roots = scratch.save(components(links, scratch), "roots")
+    near = scratch.save(components(links, scratch), "near")
+    crowded = components(_crowded_links(nodes, near, passes, bits_needed(n, window), threshold, window, seed), scratch, "crowded")
+    merged = crowded.select(F.col("node").alias("root"), F.col("root").alias("least_root"))
+    both = near.unionByName(crowded.select("node", F.col("node").alias("root")).join(near.select("node"), "node", "left_anti"))
+    roots = scratch.save(both.join(merged, "root", "left").select("node", F.coalesce("least_root", "root").alias("root")), "roots")
     counts = _link_counts(nodes.select("node", "mult", "vector"), roots, threshold, scratch)
     known = nodes.select("k", "node", "mult", "least").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = known.join(named, "root").select("k", (F.coalesce("linked", "mult") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "k").join(known, "k", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     result = scratch.save(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "result")
-    scratch.drop("nodes", "windows", "roots", "members", "angles")
+    scratch.drop("nodes", "windows", "near", "roots", "members", "angles")
     return result
