@@ -1,7 +1,10 @@
 """Trained operators: held-out accuracy, compiled rules, defined results of awkward rows."""
 
+import math
 import os
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +100,46 @@ def test_url_parts_and_rules(spark):
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
 
 
+def markov_scores(texts, kinds, counted):
+    """Scores of all texts by brute force; kinds are pairs (class, set), of which the sets `counted` make the models."""
+    symbols = [[256] * 5 + list(t.encode()) + [257] for t in texts]
+    count = [Counter(), Counter()]
+    for s, kind in zip(symbols, kinds):
+        if kind and kind[1] in counted:
+            for i in range(5, len(s)):
+                for k in range(6):
+                    count[kind[0]][tuple(s[i - k : i])] += 1
+                    count[kind[0]][k, tuple(s[i - k : i + 1])] += 1
+    out = []
+    for s in symbols:
+        total = 0.0
+        for i in range(5, len(s)):
+            p = [1 / 256, 1 / 256]
+            for k in range(6):
+                p = [(count[c][k, tuple(s[i - k : i + 1])] + 1.5 * p[c]) / (count[c][tuple(s[i - k : i])] + 1.5) for c in (0, 1)]
+            total += math.log(p[1]) - math.log(p[0])
+        out.append(total / (len(s) - 5))
+    return out
+
+
+def test_url_counts_grow_with_the_input(spark):
+    # so many contexts that tables of a fixed size would mix them
+    rng = random.Random(5)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    urls = [f"http://{name(12)}.{end}/{name(30)}" for end in ["net"] * 1800 + ["org/fr"] * 1800 + ["info"] * 300]
+    texts = [u.partition("://")[2] for u in urls]
+    says = [1 if ".org/fr/" in t else 0 if ".net/" in t else None for t in texts]
+    kinds = [None if c is None else (c, zlib.crc32(t.encode()) % 4 == 2) for t, c in zip(texts, says)]
+    score = markov_scores(texts, kinds, [False])
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.p_allow for r in url_filter.filter_urls(df, RULES).collect()}
+    some = [i for i in range(len(urls)) if 1e-6 < got[i] < 1 - 1e-6]
+    assert len(some) > 200
+    x, logit = np.array([score[i] for i in some]), np.array([math.log(got[i] / (1 - got[i])) for i in some])
+    slope, offset = np.polyfit(x, logit, 1)
+    assert np.abs(slope * x + offset - logit).max() < 1e-6
+
+
 def test_url_models_follow_the_text(spark):
     rng = random.Random(4)
     slug = lambda words: "-".join(rng.choice(words) for _ in range(4))

@@ -7,8 +7,10 @@ characters.  A URL's score is the difference of its log-likelihoods divided by
 its length; a logistic curve fitted on a quarter of the rule-judged URLs that
 neither model has seen turns it into a verdict.
 
-Counts cover all rule-judged URLs.  They are kept in tables of 2**bits hashed
-contexts an order, so the models have a fixed size and may be broadcast.
+Counts cover the other three quarters.  They are a table keyed by a character and
+the ORDER before it, exactly and without hashing, that grows with the input.  URLs
+are dealt to chunks, whose distinct keys are joined to the counts, so that a key
+that all URLs share is joined once a chunk.
 
 Defined results: null URLs and those without `://` have an empty host and path
 and are judged as the empty text; where the rules leave one of the models
@@ -18,19 +20,24 @@ without URLs every remaining URL is allowed; repeated rows are judged alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textbytes as tb
-from weftline.llm.packed import pack_counts, sum_counts, unpack_counts
-
-ORDER, BITS, SMOOTH = 5, 17, 1.5
-_START, _END = 2, 3
+from weftline.llm.scratch import Scratch
+
+ORDER, SMOOTH = 5, 1.5
+_SYMBOL, _START, _END = 9, 256, 257
+#: Kinds of URLs: blocked and allowed ones that make the models, the same set aside, all others.
+_ASIDE, _KINDS = 2, 4
+_N = [f"n{c}" for c in range(_KINDS)]
+_CLASSES = ["blocked", "allowed"]
+#: Text of a chunk of URLs, and grams held before they are counted.
+_CHUNK_BYTES, _HELD = 1 << 16, 1 << 20
 _BINS, _BIN = 400, 0.025
 
 Rule = tuple[str, str]  # rule such as `net/`, verdict
@@ -54,60 +61,80 @@ def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return rule, verdict
 
 
-def _contexts(part: tb.TextSlice) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Row bounds, and per order the table slots of each character's context and of context with character."""
+def _grams(part: tb.TextSlice) -> tuple[np.ndarray, np.ndarray]:
+    """Row bounds, and per character the key of it (lowest) and the ORDER before it; an order-k context with its character is the lowest k + 1 symbols."""
     n = np.diff(part.offsets)
     room = n + ORDER + 1
     begin = np.cumsum(room) - room
-    text = np.full(int(room.sum()), _START, np.uint64)
+    text = np.full(int(room.sum()), _START, np.int64)
     where = np.repeat(begin + ORDER - part.offsets[:-1], n) + np.arange(len(part.data))
     text[where] = part.data
     text[begin + ORDER + n] = _END
     bounds = np.concatenate([[0], np.cumsum(n + 1)])
     at = np.repeat(begin + ORDER - bounds[:-1], n + 1) + np.arange(bounds[-1])
-    slots, context = [], np.zeros(len(at), np.uint64)
-    shift = np.uint64(64 - BITS)
-    for k in range(ORDER + 1):
-        if k:
-            context = context * np.uint64(0x100000001B3) + text[at - k] + np.uint64(1)
-        own = tb.mix64(context + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        pair = tb.mix64(own * np.uint64(0xD1342543DE82EF95) + text[at])
-        slots.append(((own >> shift).astype(np.int64), (pair >> shift).astype(np.int64)))
-    return bounds, at, slots
+    gram = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        gram = gram << _SYMBOL | text[at - k]
+    return bounds, gram
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = np.zeros((2, ORDER + 1, 2, 1 << BITS), np.int64)
+    """(chunk, kind, text) to (chunk, gram, n0, n1, ...): the grams of each chunk with their counts by kind."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def counted() -> pa.RecordBatch:
+        chunk, gram, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((gram, chunk))
+        chunk, gram, kind = chunk[order], gram[order], kind[order]
+        new = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (gram[1:] != gram[:-1])])
+        first = np.flatnonzero(new)
+        n = [np.add.reduceat((kind == c).astype(np.int64), first) for c in range(_KINDS)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk[first], gram[first], *n)], ["chunk", "gram", *_N])
+
     for batch in batches:
-        allowed = np.asarray(batch.column(1)).astype(np.int64)
-        for part in tb.slices(batch.column(0)):
-            bounds, at, slots = _contexts(part)
-            kind = np.repeat(allowed[part.first : part.first + part.rows], np.diff(bounds))
-            for k, (own, pair) in enumerate(slots):
-                for c in (0, 1):
-                    tables[c, k, 0] += np.bincount(own[kind == c], minlength=1 << BITS)
-                    tables[c, k, 1] += np.bincount(pair[kind == c], minlength=1 << BITS)
-    flat = tables.reshape(-1, 1 << BITS)
-    used = np.flatnonzero(flat.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pack_counts(flat[k]) for k in used], pa.binary())], ["key", "counts"])
-
-
-def _scoring(column: str, out: str, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in batches:
-            scores = [np.empty(0)]
-            for part in tb.slices(batch.column(column)):
-                bounds, at, slots = _contexts(part)
-                p = np.full((2, len(at)), 1.0 / 256)
-                for k, (own, pair) in enumerate(slots):
-                    for c in (0, 1):
-                        p[c] = (tables[c, k, 1][pair] + SMOOTH * p[c]) / (tables[c, k, 0][own] + SMOOTH)
-                ratio = np.log(p[1]) - np.log(p[0])
-                scores.append(np.add.reduceat(ratio, bounds[:-1]) / np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, out])
-
-    return run
+        chunks, kinds = (np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1))
+        for part in tb.slices(batch.column(2)):
+            bounds, gram = _grams(part)
+            rows = np.repeat(np.arange(part.first, part.first + part.rows), np.diff(bounds))
+            held.append((chunks[rows], gram, kinds[rows]))
+        if sum(len(g) for _, g, _ in held) > _HELD:
+            yield counted()
+            held = []
+    if held:
+        yield counted()
+
+
+def _log_ratios(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, ratio) for each gram of `counts` (gram, blocked, allowed): the difference of its log-probabilities.
+
+    Counts of shorter contexts are sums of those of longer ones.  A gram has at most
+    2**_SYMBOL extensions by a symbol, so neither joins nor windows have hot keys.
+    """
+    levels = [scratch.save(counts, f"order-{ORDER}")]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND((1 << _SYMBOL * (k + 1)) - 1).alias("gram")
+        levels.insert(0, scratch.save(levels[0].groupBy(shorter).agg(*(F.sum(c).alias(c) for c in _CLASSES)), f"order-{k}"))
+    context = Window.partitionBy(F.shiftright("gram", _SYMBOL))
+    below = None
+    for k, level in enumerate(levels):
+        level = level.select("gram", *_CLASSES, *(F.sum(c).over(context).alias(f"{c}_of") for c in _CLASSES))
+        if below is None:
+            level = level.select("*", *(F.lit(1.0 / 256).alias(f"{c}_p") for c in _CLASSES))
+        else:
+            level = level.withColumn("shorter", F.col("gram").bitwiseAND((1 << _SYMBOL * k) - 1)).join(below.withColumnRenamed("gram", "shorter"), "shorter")
+        below = level.select("gram", *(((F.col(c) + SMOOTH * F.col(f"{c}_p")) / (F.col(f"{c}_of") + SMOOTH)).alias(f"{c}_p") for c in _CLASSES))
+    return below.select("gram", (F.log("allowed_p") - F.log("blocked_p")).alias("ratio"))
+
+
+def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of a chunk with the mean ratio of their characters, from the ratios of all the chunk's grams."""
+    order = np.argsort(np.asarray(known.column("gram")))
+    grams, ratios = (np.asarray(known.column(c))[order] for c in ("gram", "ratio"))
+    scores = [np.empty(0)]
+    for part in tb.slices(rows.column("__text")):
+        bounds, gram = _grams(part)
+        scores.append(np.add.reduceat(ratios[np.searchsorted(grams, gram)], bounds[:-1]) / np.diff(bounds))
+    return rows.append_column("__s", pa.array(np.concatenate(scores)))
 
 
 def _logistic(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -125,47 +152,39 @@ def _logistic(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-@dataclass
-class UrlModel:
-    tables: np.ndarray | None  # class (blocked, allowed), order, context or with character, slot
-    slope: float = 1.0
-    offset: float = 0.0
-
-
-def _scored(df: DataFrame, column: str, out: str, tables: np.ndarray) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(tables)
-    return df.mapInArrow(_scoring(column, out, shared), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
-
-
-def train_urls(judged: DataFrame) -> UrlModel:
-    """From (text, allowed: boolean): three quarters of the distinct texts make the models, the others calibrate."""
-    judged = judged.select("text", F.col("allowed").cast("int").alias("allowed"))
-    aside = F.crc32("text") % 4 == 2
-    tables = np.zeros((2 * (ORDER + 1) * 2, 1 << BITS), np.float32)
-    for r in sum_counts(judged.where(~aside).mapInArrow(_counting, "key int, counts binary")).collect():
-        tables[r["key"]] = unpack_counts(r["counts"])
-    tables = tables.reshape(2, ORDER + 1, 2, 1 << BITS)
-    if not tables[0].any() or not tables[1].any():
-        return UrlModel(None)
-    place = F.least(F.greatest(F.floor(F.col("s") / F.lit(_BIN)) + _BINS // 2, F.lit(0)), F.lit(_BINS - 1))
-    bins = _scored(judged.where(aside), "text", "s", tables).groupBy(place.alias("bin"), "allowed").count().collect()
+def _calibrate(scored: DataFrame) -> tuple[float, float]:
+    """Slope and offset from the scores of the URLs set aside; 1 and 0 where a class has none."""
+    place = F.least(F.greatest(F.floor(F.col("__s") / F.lit(_BIN)) + _BINS // 2, F.lit(0)), F.lit(_BINS - 1))
     n = np.zeros((2, _BINS))
-    for r in bins:
-        n[r["allowed"], r["bin"]] = r["count"]
+    for r in scored.where(F.col("__kind").isin(_ASIDE, _ASIDE + 1)).groupBy(place.alias("bin"), "__kind").count().collect():
+        n[r["__kind"] - _ASIDE, r["bin"]] = r["count"]
     if not n[0].any() or not n[1].any():
-        return UrlModel(tables)
-    return UrlModel(tables, *_logistic((np.arange(_BINS) - _BINS // 2 + 0.5) * _BIN, n))
+        return 1.0, 0.0
+    return _logistic((np.arange(_BINS) - _BINS // 2 + 0.5) * _BIN, n)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, p_allow) for every row; p_allow is the models' probability."""
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("__says", verdict).withColumn("__text", F.concat("host", "path"))
-    model = train_urls(rows.where("__says IS NOT NULL").select(F.col("__text").alias("text"), (F.col("__says") == "allow").alias("allowed")))
-    if model.tables is None:
+    aside = F.when(F.crc32("__text") % 4 == 2, _ASIDE).otherwise(0)
+    rows = rows.withColumn("__kind", F.when(F.col("__says").isNull(), _KINDS).otherwise(aside + (F.col("__says") == "allow").cast("int")))
+    size = rows.agg(F.sum(F.octet_length("__text") + 1).alias("bytes"), *(F.max(F.col("__kind") == c).alias(f"has{c}") for c in (0, 1))).first()
+    if not size["has0"] or not size["has1"]:
         return rows.select(key, "host", "path", "rule", F.coalesce("__says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("p_allow"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__s") * model.slope + model.offset)))
-    scored = _scored(rows, "__text", "__s", model.tables).withColumn("p_allow", p)
-    return scored.select(key, "host", "path", "rule", F.coalesce("__says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"), "p_allow")
+    chunk = F.pmod(F.xxhash64(key, "__text"), F.lit(-(-size["bytes"] // _CHUNK_BYTES)))
+    dealt = scratch.save(rows.withColumn("__chunk", chunk).repartition("__chunk").sortWithinPartitions("__chunk"), "dealt")
+    grams = dealt.select("__chunk", "__kind", "__text").mapInArrow(_counting, "chunk long, gram long, " + ", ".join(f"{n} long" for n in _N))
+    grams = scratch.save(grams, "grams")
+    counts = grams.groupBy("gram").agg(F.sum(_N[0]).alias("blocked"), F.sum(_N[1]).alias("allowed"))
+    ratios = scratch.save(_log_ratios(counts, scratch), "ratios")
+    known = grams.select("chunk", "gram").join(ratios, "gram")
+    kind = T.StructType([*dealt.schema.fields, T.StructField("__s", T.DoubleType())])
+    scored = scratch.save(dealt.groupBy("__chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score, kind), "scored")
+    scratch.drop("dealt", "grams", "ratios", *(f"order-{k}" for k in range(ORDER + 1)))
+    slope, offset = _calibrate(scored)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__s") * slope + offset)))
+    return scored.withColumn("p_allow", p).select(key, "host", "path", "rule", F.coalesce("__says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"), "p_allow")
