@@ -3,7 +3,6 @@
 import math
 import os
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -100,16 +99,16 @@ def test_url_parts_and_rules(spark):
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
 
 
-def markov_scores(texts, kinds, counted):
-    """Scores of all texts by brute force; kinds are pairs (class, set), of which the sets `counted` make the models."""
+def markov_scores(texts, says):
+    """Scores of all texts by brute force; those of a class 0 or 1 make the models."""
     symbols = [[256] * 5 + list(t.encode()) + [257] for t in texts]
     count = [Counter(), Counter()]
-    for s, kind in zip(symbols, kinds):
-        if kind and kind[1] in counted:
+    for s, said in zip(symbols, says):
+        if said is not None:
             for i in range(5, len(s)):
                 for k in range(6):
-                    count[kind[0]][tuple(s[i - k : i])] += 1
-                    count[kind[0]][k, tuple(s[i - k : i + 1])] += 1
+                    count[said][tuple(s[i - k : i])] += 1
+                    count[said][k, tuple(s[i - k : i + 1])] += 1
     out = []
     for s in symbols:
         total = 0.0
@@ -129,8 +128,7 @@ def test_url_counts_grow_with_the_input(spark):
     urls = [f"http://{name(12)}.{end}/{name(30)}" for end in ["net"] * 1800 + ["org/fr"] * 1800 + ["info"] * 300]
     texts = [u.partition("://")[2] for u in urls]
     says = [1 if ".org/fr/" in t else 0 if ".net/" in t else None for t in texts]
-    kinds = [None if c is None else (c, zlib.crc32(t.encode()) % 4 == 2) for t, c in zip(texts, says)]
-    score = markov_scores(texts, kinds, [False])
+    score = markov_scores(urls, says)
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.p_allow for r in url_filter.filter_urls(df, RULES).collect()}
     some = [i for i in range(len(urls)) if 1e-6 < got[i] < 1 - 1e-6]
@@ -140,6 +138,18 @@ def test_url_counts_grow_with_the_input(spark):
     assert np.abs(slope * x + offset - logit).max() < 1e-6
 
 
+def test_url_models_read_query_and_fragment(spark):
+    rng = random.Random(6)
+    slug = lambda words: "-".join(rng.choice(words) for _ in range(4))
+    good, bad = ["garden", "river", "history", "music"], ["casino", "win777", "xxbonus", "pillz"]
+    rows = [f"http://a.example.net/en/go{mark}to={slug(good)}" for mark in "?#" for _ in range(150)] + [f"http://a.example.net/fr/go{mark}to={slug(bad)}" for mark in "?#" for _ in range(150)]
+    rows += [f"http://new.info/go{mark}to={slug(words)}" for words in (good, bad) for mark in "?#" for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, RULES).collect()}
+    right = [got[600 + i] == ("allow" if i < 50 else "block") for i in range(100)]
+    assert sum(right) > 90, sum(right)
+
+
 def test_url_models_follow_the_text(spark):
     rng = random.Random(4)
     slug = lambda words: "-".join(rng.choice(words) for _ in range(4))

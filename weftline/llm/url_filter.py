@@ -4,16 +4,18 @@ URLs that a rule allows train one smoothed variable-order Markov model, those it
 blocks another: an order-k estimate is the count of the character after the k
 characters before it, smoothed by the estimate of order k - 1, down to single
 characters.  A URL's score is the difference of its log-likelihoods divided by
-its length; a logistic curve fitted on a quarter of the rule-judged URLs that
-neither model has seen turns it into a verdict.
+its length.  The models read the whole URL with its host in lower case: scheme,
+path, query string and fragment with it.  A logistic curve that turns scores into
+verdicts is fitted on a quarter of the rule-judged URLs, by models of the others
+alone; the verdicts are then given by models of all rule-judged URLs.
 
-Counts cover the other three quarters.  They are a table keyed by a character and
+Counts are a table keyed by a character and
 the ORDER before it, exactly and without hashing, that grows with the input.  URLs
 are dealt to chunks, whose distinct keys are joined to the counts, so that a key
 that all URLs share is joined once a chunk.
 
-Defined results: null URLs and those without `://` have an empty host and path
-and are judged as the empty text; where the rules leave one of the models
+Defined results: null URLs and those without `://` have an empty host and path;
+the former are judged as the empty text, the latter as they stand; where the rules leave one of the models
 without URLs every remaining URL is allowed; repeated rows are judged alike.
 """
 
@@ -35,7 +37,9 @@ _SYMBOL, _START, _END = 9, 256, 257
 #: Kinds of URLs: blocked and allowed ones that make the models, the same set aside, all others.
 _ASIDE, _KINDS = 2, 4
 _N = [f"n{c}" for c in range(_KINDS)]
-_CLASSES = ["blocked", "allowed"]
+#: Models that calibrate and models that judge: the counts of blocked and allowed URLs of each.
+_MODELS = {"trial": ("trial_blocked", "trial_allowed"), "full": ("blocked", "allowed")}
+_CLASSES = [c for pair in _MODELS.values() for c in pair]
 #: Text of a chunk of URLs, and grams held before they are counted.
 _CHUNK_BYTES, _HELD = 1 << 16, 1 << 20
 _BINS, _BIN = 400, 0.025
@@ -51,6 +55,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.regexp_extract(url, pattern, 2), F.lit(""))
 
 
+def whole_text(url: Column) -> Column:
+    """The URL with A-Z of its host lower-cased; empty for null."""
+    pattern = r"(?s)^(.*?://)([^/?#]*)(.*)$"
+    host = F.translate(F.regexp_extract(url, pattern, 2), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.when(url.contains("://"), F.concat(F.regexp_extract(url, pattern, 1), host, F.regexp_extract(url, pattern, 3))).otherwise(url), F.lit(""))
+
+
 def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null where none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -105,7 +116,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_ratios(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(gram, ratio) for each gram of `counts` (gram, blocked, allowed): the difference of its log-probabilities.
+    """(gram, trial, full) for each gram of `counts` (gram and the counts of _MODELS): differences of its log-probabilities.
 
     Counts of shorter contexts are sums of those of longer ones.  A gram has at most
     2**_SYMBOL extensions by a symbol, so neither joins nor windows have hot keys.
@@ -123,18 +134,21 @@ def _log_ratios(counts: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             level = level.withColumn("shorter", F.col("gram").bitwiseAND((1 << _SYMBOL * k) - 1)).join(below.withColumnRenamed("gram", "shorter"), "shorter")
         below = level.select("gram", *(((F.col(c) + SMOOTH * F.col(f"{c}_p")) / (F.col(f"{c}_of") + SMOOTH)).alias(f"{c}_p") for c in _CLASSES))
-    return below.select("gram", (F.log("allowed_p") - F.log("blocked_p")).alias("ratio"))
+    return below.select("gram", *((F.log(f"{allowed}_p") - F.log(f"{blocked}_p")).alias(model) for model, (blocked, allowed) in _MODELS.items()))
 
 
 def _score(rows: pa.Table, known: pa.Table) -> pa.Table:
-    """The rows of a chunk with the mean ratio of their characters, from the ratios of all the chunk's grams."""
+    """The rows of a chunk with the mean ratios of their characters by both models, from the ratios of all the chunk's grams."""
     order = np.argsort(np.asarray(known.column("gram")))
-    grams, ratios = (np.asarray(known.column(c))[order] for c in ("gram", "ratio"))
-    scores = [np.empty(0)]
+    grams, *ratios = (np.asarray(known.column(c))[order] for c in ("gram", *_MODELS))
+    scores = [np.empty((len(_MODELS), 0))]
     for part in tb.slices(rows.column("__text")):
         bounds, gram = _grams(part)
-        scores.append(np.add.reduceat(ratios[np.searchsorted(grams, gram)], bounds[:-1]) / np.diff(bounds))
-    return rows.append_column("__s", pa.array(np.concatenate(scores)))
+        at = np.searchsorted(grams, gram)
+        scores.append(np.stack([np.add.reduceat(r[at], bounds[:-1]) for r in ratios]) / np.diff(bounds))
+    for model, score in zip(_MODELS, np.concatenate(scores, axis=1), strict=True):
+        rows = rows.append_column(f"__{model}", pa.array(score))
+    return rows
 
 
 def _logistic(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -153,8 +167,8 @@ def _logistic(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def _calibrate(scored: DataFrame) -> tuple[float, float]:
-    """Slope and offset from the scores of the URLs set aside; 1 and 0 where a class has none."""
-    place = F.least(F.greatest(F.floor(F.col("__s") / F.lit(_BIN)) + _BINS // 2, F.lit(0)), F.lit(_BINS - 1))
+    """Slope and offset from the trial scores of the URLs set aside; 1 and 0 where a class has none."""
+    place = F.least(F.greatest(F.floor(F.col("__trial") / F.lit(_BIN)) + _BINS // 2, F.lit(0)), F.lit(_BINS - 1))
     n = np.zeros((2, _BINS))
     for r in scored.where(F.col("__kind").isin(_ASIDE, _ASIDE + 1)).groupBy(place.alias("bin"), "__kind").count().collect():
         n[r["__kind"] - _ASIDE, r["bin"]] = r["count"]
@@ -167,24 +181,26 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", ur
     """(key, host, path, rule, verdict, p_allow) for every row; p_allow is the models' probability."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"), whole_text(F.col(url)).alias("__text"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("__says", verdict).withColumn("__text", F.concat("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("__says", verdict)
     aside = F.when(F.crc32("__text") % 4 == 2, _ASIDE).otherwise(0)
     rows = rows.withColumn("__kind", F.when(F.col("__says").isNull(), _KINDS).otherwise(aside + (F.col("__says") == "allow").cast("int")))
-    size = rows.agg(F.sum(F.octet_length("__text") + 1).alias("bytes"), *(F.max(F.col("__kind") == c).alias(f"has{c}") for c in (0, 1))).first()
+    size = rows.agg(F.sum(F.octet_length("__text") + 1).alias("bytes"), *(F.max(F.col("__kind").isin(c, _ASIDE + c)).alias(f"has{c}") for c in (0, 1)), F.count_distinct(F.when(F.col("__kind") < _ASIDE, F.col("__kind"))).alias("trial_classes")).first()
     if not size["has0"] or not size["has1"]:
         return rows.select(key, "host", "path", "rule", F.coalesce("__says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("p_allow"))
     chunk = F.pmod(F.xxhash64(key, "__text"), F.lit(-(-size["bytes"] // _CHUNK_BYTES)))
     dealt = scratch.save(rows.withColumn("__chunk", chunk).repartition("__chunk").sortWithinPartitions("__chunk"), "dealt")
     grams = dealt.select("__chunk", "__kind", "__text").mapInArrow(_counting, "chunk long, gram long, " + ", ".join(f"{n} long" for n in _N))
     grams = scratch.save(grams, "grams")
-    counts = grams.groupBy("gram").agg(F.sum(_N[0]).alias("blocked"), F.sum(_N[1]).alias("allowed"))
+    sums = [F.sum(n) for n in _N]
+    sums += [sums[c] + sums[_ASIDE + c] for c in (0, 1)]
+    counts = grams.groupBy("gram").agg(*(sums[at].alias(c) for at, c in zip((0, 1, -2, -1), _CLASSES, strict=True)))
     ratios = scratch.save(_log_ratios(counts, scratch), "ratios")
     known = grams.select("chunk", "gram").join(ratios, "gram")
-    kind = T.StructType([*dealt.schema.fields, T.StructField("__s", T.DoubleType())])
+    kind = T.StructType([*dealt.schema.fields, *(T.StructField(f"__{model}", T.DoubleType()) for model in _MODELS)])
     scored = scratch.save(dealt.groupBy("__chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score, kind), "scored")
     scratch.drop("dealt", "grams", "ratios", *(f"order-{k}" for k in range(ORDER + 1)))
-    slope, offset = _calibrate(scored)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__s") * slope + offset)))
+    slope, offset = _calibrate(scored) if size["trial_classes"] == 2 else (1.0, 0.0)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__full") * slope + offset)))
     return scored.withColumn("p_allow", p).select(key, "host", "path", "rule", F.coalesce("__says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"), "p_allow")
