@@ -1,5 +1,7 @@
 """Licence digests, and token counts from flat files against direct counts."""
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -9,6 +11,8 @@ from weftline.llm import license_scan as lic
 from weftline.llm.scratch import Scratch
 from weftline.llm.token_counts import count_document_tokens, count_tokens
 
+COMMON = "/usr/share/common-licenses"
+
 
 def test_whole_texts_only(spark):
     mit = next(t for i, t in lic.LICENSES if i == "MIT")
@@ -19,6 +23,24 @@ def test_whole_texts_only(spark):
     assert lic.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_titles_and_bsd(spark):
+    text = dict(reversed(lic.LICENSES))
+    clause = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    three = text["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", clause + "\n\nTHIS SOFTWARE IS PROVIDED")
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + text["MIT"]), ("MIT", "The MIT License (MIT)\n" + text["MIT"]), ("ISC", "ISC License\n" + text["ISC"]), ("Unlicense", "The Unlicense\n" + text["Unlicense"])]
+    rows += [("BSD-3-Clause", three), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + three), ("BSD-2-Clause", text["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "))]
+    rows += [(None, "MIT License"), (None, "ISC License\n" + text["MIT"]), (None, three + " And more.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert [r.license_id for r in sorted(lic.scan_licenses(docs).collect())] == [i for i, _ in rows]
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="needs the texts of common licences")
+def test_long_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    docs = spark.createDataFrame([(k, open(f"{COMMON}/{f}", encoding="utf-8").read()) for k, f in enumerate(names)], "doc_id long, text string")
+    assert [r.license_id for r in sorted(lic.scan_licenses(docs).collect())] == list(names.values())
+
+
 def test_notices(spark):
     docs = spark.createDataFrame([(1, "prose\nReleased under the MIT License.\nmore"), (2, "we released under the MIT license."), (3, None)], "doc_id long, text string")
     assert [(r.doc_id, r.line, r.license_id) for r in lic.scan_notices(docs).collect()] == [(1, 2, "MIT")]

@@ -7,7 +7,7 @@ licence texts, so a text is a licence only if it is one as a whole.  The known
 texts are a fixed, small table whose canonical form is computed by the same
 expressions.
 
-`scan_licenses` looks up whole documents.  `scan_license_lines` looks up each
+`scan_licenses` looks up whole documents, with or without a title.  `scan_license_lines` looks up each
 line of them, as licence notices stand in a text of their own line.
 
 Defined results: a null text has no digest and no licence; a text without
@@ -40,6 +40,42 @@ LICENSES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 
+# Titles that whole documents put before these texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
+_CLAUSE_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+# Digests of long licence texts in common use, with their titles; those of Apache-2.0,
+# the GPL and LGPL-2.x with and without the appendix on how to apply them.
+LONG_LICENSES = [
+    ("Apache-2.0", "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "e259b3e0bf831ddcd5351d255b832a3eccf42a266790e35dd570e35b737e30f2"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "9672a697b80e59f5b1b0201e64d65dee8762b193cdd934dc5bcf2b57350a2ead"),
+]
+
 # Spellings that licence matching treats as equal.
 SPELLINGS = [
     ("licence", "license"),
@@ -85,13 +121,33 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return rows.groupBy(digest(F.col("known")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def _titled() -> list[tuple[str, str]]:
+    """(license_id, text): BSD-3-Clause, BSD texts without clause numbers, and all texts with TITLES before them."""
+    whole = {i: [t] for i, t in reversed(LICENSES) if i in TITLES}
+    two = whole["BSD-2-Clause"][0]
+    whole["BSD-3-Clause"] = [two.replace(" THIS SOFTWARE IS", f" 3. {_CLAUSE_3} THIS SOFTWARE IS")]
+    for i in ("BSD-2-Clause", "BSD-3-Clause"):
+        numbered = whole[i][0]
+        whole[i].append(numbered.replace(" 1. ", " ").replace(" 2. ", " ").replace(" 3. ", " "))
+    return [(i, f"{title}\n{t}") for i, texts in whole.items() for t in texts for title in ["", *TITLES[i]]]
+
+
+def known_documents(spark: SparkSession) -> DataFrame:
+    """(license_digest, license_id) of the texts that whole documents are looked up in: known_licenses(), titled and long ones."""
+    titled = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("known")) for i, t in _titled()))
+    texts = spark.range(1).select(F.inline(titled)).select(digest(F.col("known")).alias("license_digest"), "license_id")
+    long = F.array(*(F.struct(F.lit(d).alias("license_digest"), F.lit(i).alias("license_id")) for i, d in LONG_LICENSES))
+    rows = known_licenses(spark).unionByName(texts).unionByName(spark.range(1).select(F.inline(long)))
+    return rows.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(doc_id, license_digest, license_id, is_license): the licence that a whole text is, if any.
 
-    `known` is a table like known_licenses(), of any size; the built-in one is broadcast, as its size is fixed.
+    `known` is a table like known_documents(), of any size; the built-in one is broadcast, as its size is fixed.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("license_digest"))
-    table = F.broadcast(known_licenses(docs.sparkSession)) if known is None else known
+    table = F.broadcast(known_documents(docs.sparkSession)) if known is None else known
     found = rows.join(table, "license_digest", "left")
     return found.select("doc_id", "license_digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
 
