@@ -65,16 +65,60 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("few, side", [(48, 256), (3, 16)])
-def test_classes_are_exact(spark, monkeypatch, few, side):
+@pytest.mark.parametrize("few, side, wide", [(48, 256, 4096), (3, 16, 4096), (1, 8, 24)])
+def test_classes_are_exact(spark, monkeypatch, few, side, wide):
     monkeypatch.setattr(ngram_join, "_FEW", few)
     monkeypatch.setattr(ngram_join, "_SIDE", side)
+    monkeypatch.setattr(ngram_join, "_WIDE", wide)
     rows = corpus(few)
     df = spark.createDataFrame([(d, t, 1, "y") for d, t in rows], "doc_id long, text string, node long, root string").repartition(3)
     got = near_duplicate_classes(df).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_common_shingles_are_dealt_to_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_BUCKET", 8)
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicate_classes(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_many_texts_under_one_id_and_templates_stay_linear(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(120)]
+    rows = []
+    for _ in range(600):  # one id, 600 near copies of one text
+        own = list(base)
+        own[rng.randrange(120)] = word()
+        rows.append((1, " ".join(own)))
+    form = [word() for _ in range(130)]
+    rows += [(10 + i, " ".join(form + [word() for _ in range(rng.randint(34, 40))])) for i in range(600)]  # share much, link with none
+    compared = []
+    join = ngram_join._Join.with_text
+    monkeypatch.setattr(ngram_join._Join, "with_text", lambda self, *a: compared.append(join(self, *a)) or compared[-1])
+    counted = []
+    save = ngram_join.Scratch.save
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        if name.endswith("-roles"):
+            counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "save", saved)
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sum(r.component_id == 1 for r in got) == 600 and all(r.component_id == r.doc_id for r in got)
+    assert sum(counted) < 2 * len(rows)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got = near_duplicate_classes(spark.createDataFrame([(2, long), (1, long + " end"), (3, "w1 " * 100_000)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(1, 59_997, 1), (2, 59_996, 1), (3, 1, 3)}
+
+
 def test_one_of_each_class_stays(spark):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(3, base, "a"), (2, base.upper(), "b"), (2, base.upper(), "b"), (7, "something else", "c"), (None, base, "d"), (9, None, "e")]

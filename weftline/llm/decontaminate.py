@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textbytes as tb
-from weftline.llm.scratch import BATCH_ROWS
+from weftline.llm.scratch import bound_batches
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -237,7 +237,7 @@ def add_contamination(
     See the module's docstring for the method and for nulls, empty texts and ties.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     kept = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = kept.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))

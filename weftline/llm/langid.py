@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from weftline.llm import textbytes as tb
 from weftline.llm.packed import pack_counts, sum_counts, unpack_counts
 from weftline.llm.quality import held_out
-from weftline.llm.scratch import BATCH_ROWS
+from weftline.llm.scratch import bound_batches
 
 UNDETERMINED = "und"
 BITS = 16
@@ -87,7 +87,7 @@ def _counting(languages: list[str], bits: int):
 
 def train_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bits: int = BITS, penalty: float = 6.0) -> LanguageModel:
     """Trigram tables from every text with a language that isn't held out."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     learn = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.lower(text).alias("t"), F.col(lang).alias("g"))
     languages = sorted(r["g"] for r in learn.select("g").distinct().collect())
     if not languages:
@@ -182,7 +182,7 @@ def _judging(text: str, has_letter: str, out: str, shared):
 def identify_languages(docs: DataFrame, model: LanguageModel, *, text: str = "text", out: str = "language") -> DataFrame:
     """`docs` with a struct: lang, its proportion as score, and the whole mixture."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     lower, letter = "__lower", "__letter"
     rows = docs.withColumn(lower, F.lower(text)).withColumn(letter, F.col(text).rlike(r"\p{L}"))
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textbytes as tb
-from weftline.llm.scratch import BATCH_ROWS
+from weftline.llm.scratch import bound_batches
 from weftline.llm.tokens import WordBPE
 
 _SEQUENCES_PER_GROUP = 1 << 32
@@ -186,7 +186,7 @@ def pack(
     A group holds about `group_bytes` of text; one that gets far more (equal rows) is packed in several goes.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))

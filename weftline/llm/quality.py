@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textbytes as tb
-from weftline.llm.scratch import BATCH_ROWS
+from weftline.llm.scratch import bound_batches
 
 STATISTICS = (
     "log_chars", "log_words", "log_lines", "word_chars", "line_words", "upper", "digit", "space", "wide", "stop_sign", "bracket",
@@ -144,7 +144,7 @@ def _measure(text: str, out: str):
 
 def with_statistics(docs: DataFrame, *, text: str = "text", out: str = "statistics") -> DataFrame:
     """`docs` with a struct of STATISTICS of each whole text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name != out]
     fields.append(T.StructField(out, T.StructType([T.StructField(k, T.DoubleType()) for k in STATISTICS])))
     return docs.mapInArrow(_measure(text, out), T.StructType(fields))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textbytes as tb
 from weftline.llm.packing import default_tokenizer
-from weftline.llm.scratch import BATCH_ROWS, Scratch
+from weftline.llm.scratch import Scratch, batch_rows, bound_batches
 from weftline.llm.tokens import WordBPE
 
 #: End-of-document id of the default tokenizer.
@@ -82,7 +82,7 @@ def write_token_files(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", t
 
     The frame must be materialised once, as its tasks write the files.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_writing(folder, tokenizer or default_tokenizer(), separator, dtype, file_ids), f"file string, ordinal long, doc_id {kind}")
@@ -141,18 +141,16 @@ def count_tokens(blocks: DataFrame, *, separator: int = SEPARATOR, dtype: str =
     return whole.unionByName(rest)
 
 
-def count_document_tokens(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_tokens): writes the documents to flat files and counts by scanning these."""
+def count_document_tokens(docs: DataFrame, *, separator: int = SEPARATOR, dtype: str = "<u2", **options) -> DataFrame:
+    """(doc_id, n_tokens): writes the documents to flat files and counts by scanning these; further options are the writer's."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     folder = f"{scratch.path}/files"
-    order = scratch.save(write_token_files(docs, folder, **options), "order")
+    order = scratch.save(write_token_files(docs, folder, separator=separator, dtype=dtype, **options), "order")
     if order.isEmpty():
         return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are blocks here
-    try:
-        counts = scratch.save(count_tokens(read_blocks(spark, folder)), "counts")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    blocks = read_blocks(spark, folder, block_bytes=np.dtype(dtype).itemsize * BLOCK_IDS)
+    with batch_rows(spark, 16):  # rows are blocks here
+        counts = scratch.save(count_tokens(blocks, separator=separator, dtype=dtype), "counts")
     scratch.drop("files")
     return order.join(counts, ["file", "ordinal"], "left").select("doc_id", "n_tokens")

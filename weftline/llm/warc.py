@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import BATCH_ROWS, Scratch
+from weftline.llm.scratch import Scratch, batch_rows
 
 #: Compressed bytes after which a task begins another archive.
 FILE_BYTES = 4 << 20
@@ -279,11 +279,8 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     kind = pages.schema[options.get("page_id", "page_id")].dataType
     folder = f"{scratch.path}/archives"
     written = scratch.save(archive_pages(pages, folder, **options), "manifest").agg(F.sum("records")).first()[0]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # rows are whole files here
-    try:
+    with batch_rows(spark, 2):  # rows are whole files here
         records = scratch.save(read_archives(spark, folder).withColumn("page_id", F.col("page_id").cast(kind)), "records") if written else None
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     scratch.drop("archives", "manifest")
     if records is None:
         return spark.createDataFrame([], f"page_id {kind.simpleString()}, payload_bytes long, payload_digest string, record_type string, refers_to {kind.simpleString()}")
