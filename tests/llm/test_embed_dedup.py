@@ -79,5 +79,20 @@ def test_empty(spark):
     assert near_duplicate_vectors(df).count() == 0
 
 
+@pytest.mark.parametrize("background", [0.0, 0.8, 0.88])
+def test_recall_of_planted_pairs(spark, background):
+    # all vectors share a direction; every planted pair is at 0.951 to 0.97
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(np.sqrt(background) * unit(rng.standard_normal(64)) + np.sqrt(1 - background) * unit(rng.standard_normal((3000, 64))))
+    cosines = rng.uniform(0.951, 0.97, (300, 1))
+    aside = rng.standard_normal((300, 64))
+    aside = unit(aside - (aside * x[:300]).sum(axis=1, keepdims=True) * x[:300])
+    x = np.concatenate([x, cosines * x[:300] + np.sqrt(1 - cosines**2) * aside])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in near_duplicate_vectors(df, window=16).collect()}
+    assert sum(got[3000 + i] == got[i] for i in range(300)) >= 297
+
+
 def test_more_vectors_need_more_passes():
     assert passes_needed(10**9, 0.95, 32, 1e-4) > passes_needed(10**4, 0.95, 32, 1e-4) > 5

@@ -1,17 +1,20 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass hashes every vector by the signs of random projections, concatenated to
-a key of 64 bits, orders all vectors by it and compares each with the `window`
-before it.  Pairs at or above the threshold, verified by cosine in double
-precision, are links; the passes' links are united and their connected
-components found.
-
-Vectors that share the first `bits_needed` bits of a key are a run.  A run of up to
-`window` + 1 rows is compared whole by its windows; one that has more, as where many
-vectors lie about one direction, is then compared whole too, in blocks, except for
-pairs whose component is already the same.  So a pair at or above the threshold is
-found once it shares a run, however vectors are spread, and there are so many passes
-that a pair just at the threshold shares none with probability `miss`.
+Each pass hashes every vector by random projections: a hash is the direction, of
+`directions` random ones, to which a vector or its opposite is nearest, and hashes
+and then signs of further projections are concatenated to a key.  All vectors are
+ordered by it and each is compared with the `window` before it.  Pairs at or above the
+threshold, verified by cosine in double precision, are links; the passes' links
+are united and their connected components found.  Few passes run at a time and
+their shuffles are dropped before the next, so disk holds a few copies of the
+vectors whatever the number of passes.
+
+Vectors with equal hashes are a run.  A run of up to `window` + 1 rows is compared
+whole by its windows; one that has more, as where many vectors lie about one
+direction, is then compared whole too, in blocks, except for pairs whose component
+is already the same.  So a pair at or above the threshold is found once it shares a
+run, however vectors are spread, and there are so many passes that a pair just at
+the threshold shares none with probability `miss`.
 
 Bounded windows can't list all pairs of a group larger than they are, so the
 links of a vector are counted exactly within its component: an angle to the
@@ -22,12 +25,15 @@ and what this leaves open is compared block by block.
 Equal vectors are one node.  Defined results: a vector that is null, empty, zero
 or holds null or non-finite components links with nothing, as does a row with a
 null id; vectors of different lengths don't link; rows that repeat an id count as
-vectors of their own; columns other than id and vector are ignored.
+vectors of their own; the least id names a component, so ties can't arise; columns
+other than id and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +46,42 @@ from weftline.llm.scratch import Scratch
 _BLOCK = 1000
 _RUN_BLOCK = 4000
 _SLACK = 1e-6
+#: Values of a hash at most, in pairs; and bits that order the rows of a run.
+_MOST_DIRECTIONS, _TAIL_BITS = 512, 16
+#: Passes whose shuffles are on disk at once.
+_AT_ONCE = 2
 
 
-def bits_needed(n: int, window: int) -> int:
-    """Leading bits that make a run: evenly spread vectors have half a window's rows in one, or fewer."""
-    return int(np.ceil(np.log2(max(2.0, n / window)))) + 1
+class Hashing(NamedTuple):
+    """`hashes` concatenated hashes of 2 * `directions` values make a run."""
+
+    hashes: int
+    directions: int
+
+    @staticmethod
+    def of(n: int, window: int) -> Hashing:
+        """As many values as make evenly spread vectors have half a window's rows in a run, or fewer."""
+        values = max(2.0, 2 * n / window)
+        hashes = int(np.ceil(np.log(values) / np.log(2 * _MOST_DIRECTIONS)))
+        return Hashing(hashes, int(np.ceil(values ** (1 / hashes) / 2)))
+
+    def agreement(self, threshold: float) -> float:
+        """How often two vectors at the threshold share a run; projections make this the same in all dimensions."""
+        rng = np.random.default_rng(5)
+        x = rng.standard_normal((20_000, self.directions), np.float32)
+        y = threshold * x + (1 - threshold**2) ** 0.5 * rng.standard_normal(x.shape, np.float32)
+        same = _digits(x) == _digits(y)
+        return max(float(same.mean()) - 2 * float(same.std()) / len(x) ** 0.5, 1e-3) ** self.hashes
+
+
+def _digits(y: np.ndarray) -> np.ndarray:
+    i = np.abs(y).argmax(axis=1)
+    return 2 * i + (y[np.arange(len(y)), i] > 0)
 
 
 def passes_needed(n: int, threshold: float, window: int, miss: float) -> int:
     """Passes after which a pair at the threshold has never shared a run with probability `miss`."""
-    agree = 1 - np.arccos(threshold) / np.pi
-    found = agree ** bits_needed(n, window)
+    found = Hashing.of(n, window).agreement(threshold)
     return int(np.ceil(np.log(miss) / np.log1p(-min(found, 0.999)))) + 1
 
 
@@ -68,21 +99,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashing(passes: int, seed: int, last: str = "vector"):
-    """(node, dim, vector) or (node, dim, vector, root) to (pass, dim, key, node, `last`) of each vector for each pass."""
+def _hashing(passes: range, hashing: Hashing, seed: int, last: str = "vector"):
+    """(node, dim, vector) or (node, dim, vector, root) to (pass, dim, run, key, node, `last`) of each vector for each pass."""
+    count, width = hashing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             dims = np.asarray(batch.column(1)).astype(np.int64)
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * 64), np.float32)
-                signs = (_matrix(part.column(2)).astype(np.float32) @ planes[dim] > 0).reshape(part.num_rows, passes, 64)
-                keys = np.packbits(signs, axis=2).reshape(part.num_rows, passes, 8).copy().view(">i8")[..., 0].astype(np.int64)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, p), pa.int32()), part.column(1), pa.array(keys[:, p]), part.column(0), part.column(last)], ["pass", "dim", "key", "node", last])
+                unit = _matrix(part.column(2)).astype(np.float32)
+                for p in passes:
+                    if (dim, p) not in planes:
+                        planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, count * width + _TAIL_BITS), np.float32)
+                    y = unit @ planes[dim, p]
+                    found = np.zeros(len(y), np.int64)
+                    for k in range(count):
+                        found = found * (2 * width) + _digits(y[:, k * width : (k + 1) * width])
+                    key = found << _TAIL_BITS | (y[:, count * width :] > 0) @ (1 << np.arange(_TAIL_BITS))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), p), pa.int32()), part.column(1), pa.array(found), pa.array(key), part.column(0), part.column(last)], ["pass", "dim", "run", "key", "node", last])
 
     return run
 
@@ -113,9 +149,10 @@ def _compare(window: int, threshold: float, edges_out: bool):
             for g in np.unique(group[old:]).tolist():
                 at = np.flatnonzero(group == g)
                 x = _matrix(rows.column("vector").take(pa.array(at)))
-                near = x @ x.T >= threshold
-                i, j = np.nonzero(near)
-                keep = (j < i) & (i - j <= window) & (at[i] >= old)
+                fresh = int(np.searchsorted(at, old))
+                i, j = np.nonzero(x[fresh:] @ x.T >= threshold)
+                i += fresh
+                keep = (j < i) & (i - j <= window)
                 for a, b in zip(ids[at[i[keep]]].tolist(), ids[at[j[keep]]].tolist(), strict=True):
                     ra, rb = top(a), top(b)
                     if ra != rb:
@@ -208,7 +245,7 @@ def _compare_blocks(threshold: float):
     return run
 
 
-def _crowded_links(nodes: DataFrame, roots: DataFrame, passes: int, bits: int, threshold: float, window: int, seed: int) -> DataFrame:
+def _crowded_links(nodes: DataFrame, roots: DataFrame, passes: int, hashing: Hashing, threshold: float, window: int, seed: int) -> DataFrame:
     """(u, v): roots with near vectors among the rows of runs that windows don't compare whole.
 
     Rows of a run are dealt to blocks, those of a component larger than a block to
@@ -216,8 +253,8 @@ def _crowded_links(nodes: DataFrame, roots: DataFrame, passes: int, bits: int, t
     """
     run = ["pass", "dim", "run"]
     rooted = nodes.select("node", F.size("vector").alias("dim"), "vector").join(roots, "node", "left").select("node", "dim", "vector", F.coalesce("root", "node").alias("root"))
-    hashed = rooted.mapInArrow(_hashing(passes, seed, "root"), "pass int, dim int, key long, node long, root long")
-    hashed = hashed.select("pass", "dim", F.shiftright("key", 64 - bits).alias("run"), "node", "root")
+    hashed = rooted.mapInArrow(_hashing(range(passes), hashing, seed, "root"), "pass int, dim int, run long, key long, node long, root long")
+    hashed = hashed.select("pass", "dim", "run", "node", "root")
     tally = hashed.groupBy(*run, "root").agg(F.count("*").alias("own"))
     loose = F.when(F.col("own") <= _RUN_BLOCK, F.col("own")).otherwise(0)
     crowded = tally.groupBy(*run).agg(F.sum("own").alias("rows"), F.count("*").alias("groups"), F.sum(loose).alias("loose"))
@@ -312,7 +349,7 @@ def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float, scratch:
     return sure.unionByName(counted.groupBy("node").agg(F.sum("linked").alias("linked")))
 
 
-def near_duplicate_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, window: int = 32, miss: float = 1e-4, seed: int = 11) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, window: int = 256, miss: float = 1e-4, seed: int = 11) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `df`."""
     scratch = Scratch(df.sparkSession, "vectors")
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
@@ -322,15 +359,22 @@ def near_duplicate_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str
     kind = rows.schema["vector"].dataType.simpleString()
     nodes = scratch.save(keyed.where("k IS NOT NULL").groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("vector").alias("vector")).withColumn("node", F.col("k.a")), "nodes")
     n = nodes.count()
-    passes = passes_needed(n, threshold, window, miss)
-    hashed = nodes.select("node", F.size("vector").alias("dim"), "vector").mapInArrow(_hashing(passes, seed), f"pass int, dim int, key long, node long, vector {kind}")
-    ordered = hashed.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-    once = scratch.save(ordered.mapInArrow(_compare(window, threshold, True), _EDGE + kind), "windows")
-    seam = once.where("u IS NULL").select("pass", "dim", "key", "node", "vector").dropDuplicates(["pass", "node", "key"]).repartition("pass").sortWithinPartitions("pass", "dim", "key", "node")
+    passes, hashing = passes_needed(n, threshold, window, miss), Hashing.of(n, window)
+    links, seams = [], []
+    for first in range(0, passes, _AT_ONCE):
+        some = range(first, min(passes, first + _AT_ONCE))
+        hashed = nodes.select("node", F.size("vector").alias("dim"), "vector").mapInArrow(_hashing(some, hashing, seed), f"pass int, dim int, run long, key long, node long, vector {kind}").drop("run")
+        ordered = hashed.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
+        once = scratch.save(ordered.mapInArrow(_compare(window, threshold, True), _EDGE + kind), f"windows-{first}")
+        links.append(once.where("u IS NOT NULL").select("u", "v"))
+        seams.append(once.where("u IS NULL").select("pass", "dim", "key", "node", "vector"))
+        del hashed, ordered
+        scratch.reclaim()
+    seam = reduce(DataFrame.unionByName, seams).dropDuplicates(["pass", "node", "key"]).repartition("pass").sortWithinPartitions("pass", "dim", "key", "node")
     more = seam.mapInArrow(_compare(window, threshold, False), _EDGE + kind)
-    links = once.where("u IS NOT NULL").select("u", "v").unionByName(more.where("u IS NOT NULL").select("u", "v"))
+    links = reduce(DataFrame.unionByName, links).unionByName(more.where("u IS NOT NULL").select("u", "v"))
     near = scratch.save(components(links, scratch), "near")
-    crowded = components(_crowded_links(nodes, near, passes, bits_needed(n, window), threshold, window, seed), scratch, "crowded")
+    crowded = components(_crowded_links(nodes, near, passes, hashing, threshold, window, seed), scratch, "crowded")
     merged = crowded.select(F.col("node").alias("root"), F.col("root").alias("least_root"))
     both = near.unionByName(crowded.select("node", F.col("node").alias("root")).join(near.select("node"), "node", "left_anti"))
     roots = scratch.save(both.join(merged, "root", "left").select("node", F.coalesce("least_root", "root").alias("root")), "roots")
@@ -340,5 +384,5 @@ def near_duplicate_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str
     known = known.join(named, "root").select("k", (F.coalesce("linked", "mult") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "k").join(known, "k", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     result = scratch.save(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), "result")
-    scratch.drop("nodes", "windows", "near", "roots", "members", "angles")
+    scratch.keep("result")
     return result

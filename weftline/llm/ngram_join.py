@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textbytes as tb
 from weftline.llm.components import components
-from weftline.llm.packed import pack_counts, sum_counts, unpack_counts
+from weftline.llm.packed import pack_counts, sum_counts
 from weftline.llm.scratch import Scratch
 
 _CHUNKS = 128
@@ -86,19 +86,17 @@ def _scan(words: int, bits: int):
         id_type = None
         names = ["doc_id", "said", "n", "node", "chunk", "counts"]
         for batch in batches:
-            sizes, nodes, held, n_held = [], [], [], 0
+            sizes, nodes = [], []
             id_type = batch.column(0).type
             for part in tb.slices(batch.column(2)):
-                for own in tb.shingle_sets(part, words):
-                    sizes.append(len(own))
-                    nodes.append(_node(own) if len(own) else None)
-                    held.append(own)
-                    n_held += len(own)
-            if n_held:
+                held = list(tb.shingle_sets(part, words))
+                sizes += [len(own) for own in held]
+                nodes += [_node(own) if len(own) else None for own in held]
                 slot = np.sort((np.concatenate(held) & np.uint64((1 << bits) - 1)).astype(np.uint32))
-                first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
-                slot, more = slot[first], np.diff(np.append(first, len(slot)))
-                counts[slot] = np.minimum(counts[slot] + more, 65535)
+                if len(slot):
+                    first = np.concatenate([[0], np.flatnonzero(slot[1:] != slot[:-1]) + 1])
+                    slot, more = slot[first], np.diff(np.append(first, len(slot)))
+                    counts[slot] = np.minimum(counts[slot] + more, 65535)
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if id_type is not None and counts.any():
@@ -110,17 +108,12 @@ def _scan(words: int, bits: int):
 
 
 def _classing(mean: float):
-    """Summed counters to classes: 0 for those within noise of the mean, else one that grows with the count, two to an octave."""
+    """A summed counter's class: 0 if within noise of the mean, else one that grows with the count, two to an octave."""
 
-    @tb.lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for packed in batch.column(1):
-                over = unpack_counts(packed.as_py()) - mean
-                cls = np.maximum(np.ceil(2 * np.log2(np.maximum(over, 1.0))), 1)
-                out.append(np.where(over <= 5 * mean**0.5 + 4, 0, cls).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "classes"])
+    def run(counts: np.ndarray) -> bytes:
+        over = counts - mean
+        cls = np.maximum(np.ceil(2 * np.log2(np.maximum(over, 1.0))), 1)
+        return np.where(over <= 5 * mean**0.5 + 4, 0, cls).astype(np.uint8).tobytes()
 
     return run
 
@@ -212,7 +205,7 @@ def _postings(words: int, shared, buckets: int, n_orders: int):
                         votes.append(some <= np.partition(some, _VOTES)[_VOTES] if len(some) > _VOTES else np.ones(len(some), bool))
                         nodes.append(np.full(len(some), ranked, np.int64))
                         held += len(some)
-                    if held > 500_000:
+                    if held > 250_000:
                         yield from flush()
         yield from flush()
 
@@ -466,10 +459,10 @@ class _Join:
         scanned = self.scratch.save(self.docs.mapInArrow(_scan(self.words, self.bits), f"doc_id {kind}, said long, n long, node long, chunk int, counts binary"), "scan")
         shingles = int(scanned.agg(F.sum("n")).first()[0] or 0)
         self.buckets = max(16, -(-shingles * self.n_orders * (105 - self.percent) // 100 // _BUCKET))
-        sums = sum_counts(scanned.where("chunk IS NOT NULL").select(F.col("chunk").alias("key"), "counts"))
+        sums = sum_counts(scanned.where("chunk IS NOT NULL").select(F.col("chunk").alias("key"), "counts"), _classing(shingles / (1 << self.bits)))
         classes = np.zeros((_CHUNKS, (1 << self.bits) // _CHUNKS), np.uint8)
-        for r in sums.mapInArrow(_classing(shingles / (1 << self.bits)), "key int, classes binary").collect():
-            classes[r["key"]] = np.frombuffer(r["classes"], np.uint8)
+        for r in sums.collect():
+            classes[r["key"]] = np.frombuffer(r["counts"], np.uint8)
         self.orders = self.docs.sparkSession.sparkContext.broadcast(_Orders(classes.ravel(), self.percent))
         return scanned.where("chunk IS NULL").select("doc_id", "said", "n", "node")
 

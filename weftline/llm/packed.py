@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ def unpack_counts(packed: bytes) -> np.ndarray:
     return raw.T.copy().view("<i8").ravel()
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(unpack_counts(c.as_py()) for c in table.column("counts"))
-    out = {n: table.column(n)[:1] for n in table.column_names if n != "counts"}
-    return pa.table(out | {"counts": pa.array([pack_counts(total)], pa.binary())})
+def _adding(told: Callable[[np.ndarray], bytes]):
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(unpack_counts(c.as_py()) for c in table.column("counts"))
+        out = {n: table.column(n)[:1] for n in table.column_names if n != "counts"}
+        return pa.table(out | {"counts": pa.array([told(total)], pa.binary())})
 
+    return run
 
-def sum_counts(parts: DataFrame) -> DataFrame:
-    """(key: int, counts: packed) summed by key, in two levels."""
+
+def sum_counts(parts: DataFrame, told: Callable[[np.ndarray], bytes] = pack_counts) -> DataFrame:
+    """(key: int, counts: packed) summed by key, in two levels; `told` says what becomes of a sum."""
     near = parts.select("key", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("part"), "counts")
-    first = near.groupBy("key", "part").applyInArrow(_add, "key int, part int, counts binary")
-    return first.select("key", "counts").groupBy("key").applyInArrow(_add, "key int, counts binary")
+    first = near.groupBy("key", "part").applyInArrow(_adding(pack_counts), "key int, part int, counts binary")
+    return first.select("key", "counts").groupBy("key").applyInArrow(_adding(told), "key int, counts binary")

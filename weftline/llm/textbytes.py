@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a few 8-byte temporaries per byte are alive.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 # the system's allocator gives large blocks back at once; the default one keeps them in every worker
 pa.set_memory_pool(pa.system_memory_pool())
