@@ -25,9 +25,9 @@ def _one(spark, column, **values):
     [
         ("分享图片", None, ""),
         ("  分享视频\n", None, ""),
-        ("正文\n测试位置", "测试位置", "正文"),
-        ("正文\n 测试位置 \n\n", " 测试位置", "正文"),
-        ("正文\n别处", "测试位置", "正文\n别处"),
+        ("诗句\n河边", "河边", "诗句"),
+        ("诗句\n 河边 \n\n", " 河边", "诗句"),
+        ("诗句\n别处", "河边", "诗句\n别处"),
         ("话\n某人的微博视频", None, "话"),
         ("分享图片\n一行", None, ""),
         ("分享图片\n一行\n二行", None, "分享图片\n一行\n二行"),
@@ -43,8 +43,8 @@ def test_clean_text(spark, raw, place, want):
 def test_keywords(spark):
     words = ["OCD", "强迫症", "強迫症"]
     c = F.col("t")
-    assert _one(spark, text.count_keywords(c, words), t="OCD、ocd、强迫症和強迫症") == 4
-    assert _one(spark, text.mask_keywords(c, words), t="OCD和强迫症不是临床标签") == "[MASK]和[MASK]不是临床标签"
+    assert _one(spark, text.count_keywords(c, words), t="ocd，强迫症，OCD；強迫症") == 4
+    assert _one(spark, text.mask_keywords(c, words), t="雨天OCD，晴天强迫症") == "雨天[MASK]，晴天[MASK]"
     assert _one(spark, text.mask_keywords(c, ["a+b"], r"$1\x"), t="A+B aab") == r"$1\x aab"
     assert _one(spark, text.contains_keywords(c, []), t="x") is False
     assert _one(spark, text.contains_keywords(c, words), t=None) is False
@@ -95,7 +95,7 @@ def test_identity(spark):
 
 
 def test_window_before_condition(spark):
-    rows = [("s", None, "0", "x"), ("s", 1, "1", "first ordinary post"), ("s", 2, "2", "OCD mention"), ("s", 3, "3", "last ordinary post")]
+    rows = [("s", None, "0", "x"), ("s", 1, "1", "rain"), ("s", 2, "2", "the OCD word"), ("s", 3, "3", "snow")]
     df = spark.createDataFrame(rows, "subject string, time int, id string, text string")
     window = windowing.recent(df, "subject", "time", "id", 2)
     assert [r.id for r in windowing.apply_condition(window, "text", "removed", ["ocd"]).collect()] == ["3"]
@@ -253,3 +253,38 @@ def test_attention_ignores_masked_rows():
     assert np.allclose(neural.attention(q, k2, v2, mask, 2)[0], out) and np.allclose(w.sum(-1), 1) and (w[:, :, 2] == 0).all()
     assert neural.gelu(np.array([1.0]))[0] == pytest.approx(0.8413447, abs=1e-6)
     assert np.allclose(neural.token_mean(v, mask, mask), v[0]) and np.allclose(neural.last_token(v, mask), v[3])
+
+
+def test_clean_text_is_linear_in_white_space(spark):
+    import time
+
+    blank = " \n\t" * 300_000
+    start = time.time()
+    assert _one(spark, text.clean_text(F.col("t"), F.lit("x")), t=f"a{blank}b{blank}") == f"a{blank}b"
+    assert time.time() - start < 20
+
+
+def test_limits_after_the_condition(spark):
+    rows = [(s, k, f"{k}") for s in ("a", "b", "c") for k in range(4)]
+    df = spark.createDataFrame(rows, "s string, t int, k string")
+    got = windowing.limited(df, "s", "t", "k", post_limit=2, subject_limit=2).collect()
+    assert sorted((r.s, r.t) for r in got) == [("a", 2), ("a", 3), ("b", 2), ("b", 3)]
+    late = df.withColumn("o", F.when(F.col("s") == "c", 0).otherwise(F.col("t") + 1))
+    assert {r.s for r in windowing.limited(late, "s", "t", "k", subject_limit=1, subject_order="o").collect()} == {"c"}
+    with pytest.raises(ValueError):
+        windowing.limited(df, "s", "t", "k", post_limit=0)
+
+
+def test_bad_labels_scores_and_missing_subjects_are_errors(spark):
+    good = [("r", "a", "test", 0, 0.2), ("r", "b", "test", 1, 0.8)]
+    kind = "run string, subject_id string, role string, label int, score double"
+    for bad in (("r", "c", "test", 2, 0.5), ("r", "c", "test", 1, None), ("r", "c", "test", 1, float("nan"))):
+        with pytest.raises(Exception, match="labels are 0 or 1"):
+            metrics.binary_metrics(spark.createDataFrame([*good, bad], kind), ["run"]).collect()
+    with pytest.raises(Exception, match="no rows"):
+        metrics.binary_metrics(spark.createDataFrame([], kind), []).collect()
+    assert stats.oof(spark.createDataFrame(good, kind), ["run"]).count() == 2
+    with pytest.raises(Exception, match="one test row"):
+        stats.oof(spark.createDataFrame([*good, ("r", "c", "train", 1, 0.5)], kind), ["run"]).collect()
+    with pytest.raises(Exception, match="one test row"):
+        stats.oof(spark.createDataFrame(good, kind), ["run"], spark.createDataFrame([("r", "z")], "run string, subject_id string")).collect()

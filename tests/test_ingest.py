@@ -24,11 +24,11 @@ def tree(tmp_path):
     _write(tmp_path / "control/users.csv", ["用户id", "x"], [["100", ""], ["101", ""]])
     _write(tmp_path / "positive/users.csv", ["用户id", "x"], [["200", ""], ["201", ""]])
     for g, u in (("control", "100"), ("control", "101"), ("positive", "200")):
-        rows = [["900000", "b", "我提到OCD但这不是临床标签", "测试位置", "", "4", "2", "1", "2026-01-02 03:04:05"]]
+        rows = [["731", "b", "今天下雨，OCD这个词出现了一次", "河边", "", "4", "2", "1", "2021-09-08 17:16:15"]]
         if u == "200":
-            rows += [["900000", "b", "我提到OCD\n但这不是", "测试位置", "", "9", "2", "1", "2026-01-02 03:04:05"], ["", "b", "no id", "", "", "", "", "", ""], ["900001", "b", "later", "", "nonsense", "x", "", "", ""]]
+            rows += [["731", "b", "今天下雨\nOCD出现了", "河边", "", "9", "2", "1", "2021-09-08 17:16:15"], ["", "b", "no id", "", "", "", "", "", ""], ["732", "b", "later", "", "nonsense", "x", "", "", ""]]
         _write(tmp_path / g / u / f"{u}.csv", POSTS, rows)
-        for name in ("pre_900000_2.JPG", "odd.png", "pre_5.jpg"):
+        for name in ("pre_731_2.JPG", "odd.png", "pre_5.jpg"):
             p = tmp_path / g / u / "img/original" / name
             p.parent.mkdir(parents=True, exist_ok=True)
             p.write_bytes(b"x")
@@ -53,17 +53,17 @@ def test_prepare(spark, tree):
         ("control", 0, True, None, 1, 3), ("control", 0, True, None, 1, 3), ("positive", 1, False, "missing_user_directory", 0, 0), ("positive", 1, True, None, 2, 3),
     ]
     posts = {r.cleaned_text: r for r in p.posts.collect() if r.likes == 9 or r.cleaned_text == "later"}
-    kept = posts["我提到OCD\n但这不是"]
+    kept = posts["今天下雨\nOCD出现了"]
     assert kept.likes == 9 and kept.contains_study_keyword and len(kept.metadata_vector) == 5 and kept.subject_id.startswith("subject-")
     assert posts["later"].published_at is None and posts["later"].likes == 0
     media = p.media.collect()
     assert {r.extension for r in media if r.post_id} == {".jpg"}
-    assert sum(r.post_id is not None for r in media) == 3 and not any("900000" in str(r) for r in media)
+    assert sum(r.post_id is not None for r in media) == 3 and not any("731" in str(r) for r in media)
     c = {r.source_group: r for r in p.counters.collect()}
     assert (c["positive"].posts_duplicate_rows_dropped, c["positive"].posts_conflicting_duplicate_rows, c["positive"].posts_missing_sid) == (1, 1, 1)
     assert (c["positive"].excluded_missing_user_directory, c["control"].media_unparseable, c["control"].media_unmatched) == (1, 2, 2)
     ids = {len(r.posts): r for r in p.identities.where("source_group = 'positive'").collect()}
-    assert {x.raw_post_id for x in ids[2].posts} == {"900000", "900001"}
+    assert {x.raw_post_id for x in ids[2].posts} == {"731", "732"}
 
 
 def test_audit(spark, tree):

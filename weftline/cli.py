@@ -27,7 +27,7 @@ def raw_tables(spark: SparkSession, study: config.Study, image_dirs: list[str],
 
 
 def _emit(df: DataFrame) -> None:
-    for r in df.limit(1000).collect():
+    for r in df.toLocalIterator():
         print(json.dumps(r.asDict(True), ensure_ascii=False, default=str))
 
 

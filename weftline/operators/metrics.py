@@ -42,11 +42,20 @@ def roc_auc(predictions: DataFrame, group: Sequence[str], label: str, score: str
 
 
 def binary_metrics(predictions: DataFrame, group: Sequence[str], label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """All metrics of each group; a score at the threshold is positive."""
+    """All metrics of each group; a score at the threshold is positive.
+
+    A label other than 0 and 1, a score that is null or NaN and, without groups, an empty input are errors.
+    """
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold is between 0 and 1")
-    judged = predictions.withColumn("__p", (F.col(score) >= threshold).cast("int"))
-    return rates(confusion(judged, group, label, "__p")).join(roc_auc(predictions, group, label, score), list(group))
+    fine = F.col(label).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    bad = F.raise_error(F.lit("labels are 0 or 1 and scores are numbers"))
+    sound = predictions.withColumn(label, F.when(F.coalesce(fine, F.lit(False)), F.col(label)).otherwise(bad))
+    counts = rates(confusion(sound.withColumn("__p", (F.col(score) >= threshold).cast("int")), group, label, "__p"))
+    if group:
+        return counts.join(roc_auc(sound, group, label, score), list(group))
+    some = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no rows to judge")))
+    return counts.withColumn("n", some).join(roc_auc(sound, group, label, score))  # one row each
 
 
 def t_critical(n: Column) -> Column:

@@ -62,12 +62,18 @@ def partition_fingerprint(assignments: DataFrame, group: Sequence[str], subject:
     return sets.groupBy(*group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("ids")), ";"), 256).alias("fingerprint"))
 
 
-def oof(predictions: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Test rows of a run; a subject with none or several is an error."""
-    per = Window.partitionBy(*run, "subject_id")
-    rows = predictions.where("role = 'test'").withColumn("__n", F.count("*").over(per))
-    checked = F.when(F.col("__n") == 1, F.col("subject_id")).otherwise(F.raise_error(F.lit("a subject has several test rows")))
-    return rows.withColumn("subject_id", checked).drop("__n")
+def oof(predictions: DataFrame, run: Sequence[str], subjects: DataFrame | None = None) -> DataFrame:
+    """Test rows of a run; a subject with none or several is an error.
+
+    Subjects are those with a row of any role and those of `subjects` (run columns, subject_id), if given.
+    """
+    keys = [*run, "subject_id"]
+    rows = predictions
+    if subjects is not None:
+        rows = predictions.join(subjects.select(*keys).distinct(), keys, "full_outer")
+    tested = F.sum(F.coalesce((F.col("role") == "test").cast("int"), F.lit(0))).over(Window.partitionBy(*keys))
+    known = F.when(F.col("__n") == 1, F.col("role") == "test").otherwise(F.raise_error(F.concat(F.lit("subjects have one test row each, not "), F.col("__n").cast("string"))).cast("boolean"))
+    return rows.withColumn("__n", tested).where(known).drop("__n")
 
 
 def repeated_summary(predictions: DataFrame, experiment: Sequence[str] = ("experiment",), threshold: float = 0.5) -> DataFrame:

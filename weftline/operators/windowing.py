@@ -44,6 +44,22 @@ def recent(df: DataFrame, subject: str, time: str, key: str, n: int) -> DataFram
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
+def limited(df: DataFrame, subject: str, time: str, key: str, *, post_limit: int | None = None, subject_limit: int | None = None, subject_order: str | None = None) -> DataFrame:
+    """After window and condition: the first subjects, by id or by `subject_order`, and the last records of each.
+
+    A subject's place is its least `subject_order`; ties go by id.  Limits of 0 or less are errors.
+    """
+    for limit in (post_limit, subject_limit):
+        if limit is not None and limit <= 0:
+            raise ValueError("a limit is positive")
+    out = df
+    if subject_limit is not None:
+        place = df.groupBy(subject).agg(F.min(subject_order or subject).alias("__place"))
+        first = place.orderBy("__place", subject).limit(subject_limit).select(subject)
+        out = out.join(F.broadcast(first) if subject_limit <= 100_000 else first, subject, "left_semi")
+    return out if post_limit is None else recent(out, subject, time, key, post_limit)
+
+
 def apply_condition(df: DataFrame, text: str, condition: str, keywords: Iterable[str], replacement: str = "[MASK]") -> DataFrame:
     """`original`, `masked` or `removed`: applied to a window's records, which are never refilled."""
     if condition == "original":

@@ -90,11 +90,13 @@ def benchmark(predictions: DataFrame, assignments: DataFrame, config: Benchmark)
     return ablation_report(predictions, config.reference)
 
 
-def markdown(table: DataFrame, comparisons: DataFrame, limit: int = 1000) -> str:
-    """The report's two tables as text; they have a row per condition and metric."""
+def markdown(table: DataFrame, comparisons: DataFrame, most: int = 1000) -> str:
+    """The report's two tables as text; they have a row per condition and metric, and more than `most` are an error."""
     out = []
     for title, df in (("Conditions", table), ("Comparisons", comparisons)):
-        rows = df.orderBy(*df.columns[:2]).limit(limit).collect()
+        rows = df.orderBy(*df.columns[:2]).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{title.lower()} of more than {most} rows aren't a report")
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import identity as ident
@@ -265,15 +265,15 @@ def subject_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH l AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0), d AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey % 11 <> 0 GROUP BY 1)
+WITH l AS (SELECT DISTINCT c_custkey AS k FROM customer), d AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
 SELECT coalesce(l.k, d.k) AS user_id, CASE WHEN l.k IS NULL THEN 'missing_user_metadata_row' WHEN d.k IS NULL THEN 'missing_user_directory' WHEN n < 10 THEN 'missing_post_csv' END AS exclusion_reason FROM l FULL JOIN d ON l.k = d.k
 """
 )
 def full_outer_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.plans.ingest import exclusions
 
-    users = table(spark, sf_dir, "customer").where("c_custkey % 7 != 0").select(F.lit("g").alias("source_group"), F.col("c_custkey").alias("user_id"))
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 11 != 0").groupBy(F.lit("g").alias("source_group"), F.col("o_custkey").alias("user_id")).agg((F.count("*") >= 10).alias("has_posts"))
+    users = table(spark, sf_dir, "customer").select(F.lit("g").alias("source_group"), F.col("c_custkey").alias("user_id"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.lit("g").alias("source_group"), F.col("o_custkey").alias("user_id")).agg((F.count("*") >= 10).alias("has_posts"))
     return exclusions(users, orders).select("user_id", "exclusion_reason")
 
 
@@ -382,10 +382,22 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fo.split_summary(assignments(spark, sf_dir))
 
 
-@query("SELECT 'none' AS rule, CAST(0 AS BIGINT) AS cases")
+_BROKEN = "br AS (SELECT split_seed, subject_id, outer_fold, CASE WHEN split_seed = 58 AND role = 'test' AND subject_id % 7 = 0 THEN 'train' ELSE role END AS role FROM roles)"
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_BROKEN}, tt AS (SELECT split_seed, subject_id, sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS k FROM br GROUP BY 1, 2) SELECT split_seed, 'not tested once' AS rule, count(*) AS cases FROM tt WHERE k <> 1 GROUP BY 1")
 def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fo.violations(assignments(spark, sf_dir), subjects(spark, sf_dir), FOLDS)
-    return found.agg(F.coalesce(F.min("rule"), F.lit("none")).alias("rule"), F.coalesce(F.sum("cases"), F.lit(0)).cast("long").alias("cases"))
+    """The rules that folds break in which every seventh subject of one seed is made a training subject instead of a test subject."""
+    moved = (F.col("split_seed") == 58) & (F.col("role") == "test") & (F.col("subject_id") % 7 == 0)
+    broken = assignments(spark, sf_dir).withColumn("role", F.when(moved, "train").otherwise(F.col("role")))
+    return fo.violations(broken, subjects(spark, sf_dir), FOLDS)
+
+
+@query(f"WITH {_SUBJECTS} SELECT label_id, count(*) AS subjects, CAST(sum(CASE WHEN post_count >= 100 THEN 1 ELSE 0 END) AS BIGINT) AS included, CAST(sum(CASE WHEN post_count < 100 THEN 1 ELSE 0 END) AS BIGINT) AS excluded FROM s GROUP BY 1")
+def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.plans.evaluate import cohort_summary as summary
+
+    return summary(subjects(spark, sf_dir), 100)
 
 
 @query(
@@ -575,17 +587,88 @@ def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("split_seed", "subject_id", "outer_fold", "label", r6("score").alias("score"), "prediction")
 
 
-@query("SELECT 'none' AS problem, CAST(0 AS BIGINT) AS cases")
+@query(
+    f"""
+WITH RECURSIVE {_SUBJECTS}, {_PRED} SELECT 'meta' AS experiment, 'repeated partition' AS problem, CAST(1 AS BIGINT) AS cases
+UNION ALL SELECT 'text', 'uneven coverage', count(DISTINCT subject_id) FROM pr WHERE subject_id % 5 = 0 HAVING count(*) > 0
+"""
+)
 def repetition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = st.repetition_problems(_predictions(spark, sf_dir))
-    return found.agg(F.coalesce(F.min("problem"), F.lit("none")).alias("problem"), F.coalesce(F.sum("cases"), F.lit(0)).cast("long").alias("cases"))
+    """What is wrong with runs of which one uses a partition twice and another lacks subjects in one seed."""
+    p = _predictions(spark, sf_dir)
+    twice = p.where("experiment = 'meta' AND split_seed != 61").unionByName(p.where("experiment = 'meta' AND split_seed = 60").withColumn("split_seed", F.lit(61)))
+    short = p.where("experiment = 'text' AND NOT (split_seed = 58 AND subject_id % 5 = 0)")
+    return st.repetition_problems(p.where("experiment = 'full'").unionByName(twice).unionByName(short))
 
 
-@query("SELECT 'none' AS problem, CAST(0 AS BIGINT) AS cases")
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_PRED} SELECT split_seed, count(*) AS cases FROM pr WHERE experiment = 'full' AND split_seed = 59 AND subject_id % 5 = 0 GROUP BY 1")
 def alignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assignments(spark, sf_dir)
-    bad = con.misaligned(_predictions(spark, sf_dir).where("experiment = 'full'"), a, ["split_seed"])
-    return bad.agg(F.when(F.count("*") == 0, "none").otherwise("misaligned").alias("problem"), F.count("*").alias("cases"))
+    """Out-of-fold rows that differ from the split where every fifth label of one seed is turned round."""
+    wrong = (F.col("split_seed") == 59) & (F.col("subject_id") % 5 == 0)
+    p = _predictions(spark, sf_dir).where("experiment = 'full'").withColumn("label", F.when(wrong, 1 - F.col("label")).otherwise(F.col("label")))
+    return con.misaligned(p, assignments(spark, sf_dir), ["split_seed"]).groupBy("split_seed").agg(F.count("*").alias("cases"))
+
+
+# ---- constraints -------------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(c_custkey, o_custkey) AS k, CASE WHEN o_custkey IS NULL THEN 'left' ELSE 'right' END AS only_in FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL")
+def unequal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return con.unequal_sets(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("SELECT DISTINCT user_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events) WHERE x <> y")
+def unequal_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events are in another order by time than by id."""
+    e = table(spark, sf_dir, "events")
+    sides = [e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("pos")) for order in (["event_id"], ["ts", "event_id"])]
+    return con.unequal_sequences(*sides, "user_id", "pos", "event_id")
+
+
+@query("SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+def inconsistent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return con.inconsistent(table(spark, sf_dir, "customer"), "c_nationkey", ["c_mktsegment"])
+
+
+@query(
+    """
+WITH a AS (SELECT o_orderkey AS k, sum(l_extendedprice) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders)
+SELECT b.k FROM b LEFT JOIN a ON a.k = b.k WHERE a.v IS NULL OR abs(a.v - b.v) > 1000
+"""
+)
+def not_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return con.not_close(sums.join(orders, "k", "left_semi"), orders, ["k"], "v", 1000.0).select("k")
+
+
+@query("SELECT doc_id FROM documents WHERE lower(text) LIKE '%http%'")
+def modality_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that mention a link where a condition says that none may."""
+    docs = table(spark, sf_dir, "documents").withColumn("has_link", F.contains(F.lower("text"), F.lit("http")))
+    return con.leaks(docs, ["has_link"]).select("doc_id")
+
+
+@query(
+    """
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events), f AS (SELECT user_id FROM events GROUP BY 1 ORDER BY 1 LIMIT 7),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS k FROM w WHERE rn <= 20 AND event_type <> 'click' AND user_id IN (SELECT user_id FROM f))
+SELECT user_id, event_id FROM c WHERE k <= 5
+"""
+)
+def limited_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of 20, a condition, then the last 5 events of the first 7 users."""
+    e = table(spark, sf_dir, "events")
+    kept = win.recent(e, "user_id", "ts", "event_id", 20).where("event_type != 'click'")
+    first = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    return win.limited(first.join(kept, "user_id", "left"), "user_id", "ts", "event_id", post_limit=5, subject_limit=7).where("event_id IS NOT NULL").select("user_id", "event_id")
+
+
+@query("SELECT e.event_id, o.o_orderkey AS post_id FROM events e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderkey = e.event_id")
+def media_to_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left lookup on subject and raw id; null where nothing matches."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderkey").alias("post_id"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id").join(o, ["user_id", "event_id"], "left").select("event_id", "post_id")
 
 
 # ---- vectors and sequences ---------------------------------------------------------------------
@@ -755,10 +838,29 @@ def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "turn", F.size("embedding").alias("width"), r6(F.get("embedding", F.lit(0)).cast("double")).alias("first"))
 
 
-@query("SELECT 'none' AS problem, CAST(0 AS BIGINT) AS cases")
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_OUTER_SQL} SELECT split_seed, o.only_in, count(*) AS cases FROM outer_folds, (VALUES ('left'), ('right')) o(only_in) WHERE subject_id % 5 = 0 GROUP BY 1, 2")
 def rerun_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two evaluations of the folds, of one and of many partitions, have the same rows."""
+    """Two evaluations of the folds, of one and of many partitions, differ only where the second is changed: at every fifth subject."""
     a = fo.outer_folds(subjects(spark, sf_dir), SEEDS, FOLDS)
     b = fo.outer_folds(subjects(spark, sf_dir).repartition(16, "subject_id"), SEEDS, FOLDS)
-    bad = con.rerun_differences(a, b)
-    return bad.agg(F.when(F.count("*") == 0, "none").otherwise("different").alias("problem"), F.count("*").alias("cases"))
+    moved = F.when(F.col("subject_id") % 5 == 0, F.col("outer_fold") + 100).otherwise(F.col("outer_fold")).cast(b.schema["outer_fold"].dataType)
+    return con.rerun_differences(a, b.withColumn("outer_fold", moved)).groupBy("split_seed", "only_in").agg(F.count("*").alias("cases"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_WINDOW}, {_FIT}
+SELECT r.split_seed, r.outer_fold, r.subject_id, fl.feature, round(avg((value - mean) / scale), 6) AS value
+FROM roles r JOIN fl USING (subject_id) JOIN ft ON ft.split_seed = r.split_seed AND ft.outer_fold = r.outer_fold AND ft.feature = fl.feature GROUP BY 1, 2, 3, 4
+"""
+)
+def metadata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train-only standardizer, its application to posts and their means per subject, by the operators of `models`."""
+    keys = ["split_seed", "outer_fold"]
+    window = win.recent(posts(spark, sf_dir), "subject_id", "published_at", "post_id", 64)
+    cells = F.array(*(F.struct(F.lit(f"f{k}").alias("feature"), c.alias("value")) for k, c in enumerate(meta.metadata_columns(F.col("likes"), F.col("comments"), F.col("reposts"), F.col("published_at")))))
+    a = assignments(spark, sf_dir).select(*keys, "subject_id", "role")
+    folded = a.join(window.select("subject_id", F.inline(cells)), "subject_id")
+    fitted = mod.standardizer(folded.where("role = 'train'"), keys)
+    means = mod.subject_means(mod.standardize(folded, fitted, keys), a, keys, [f"f{k}" for k in range(5)])
+    return means.select(*keys, "subject_id", "feature", r6("value").alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], wanted: Sequence[st
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names only; no row is parsed."""
     first = spark.read.text(path).limit(1).collect()
-    return [c.strip().strip('"') for c in first[0][0].lstrip("﻿").split(",")] if first else []
+    return [c.lstrip("﻿").strip() for c in next(csv.reader([first[0][0].lstrip("﻿")]), [])] if first else []
 
 
 def read_users(spark: SparkSession, root: str, group: str) -> DataFrame:
