@@ -385,7 +385,7 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BROKEN = "br AS (SELECT split_seed, subject_id, outer_fold, CASE WHEN split_seed = 58 AND role = 'test' AND subject_id % 7 = 0 THEN 'train' ELSE role END AS role FROM roles)"
 
 
-@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_BROKEN}, tt AS (SELECT split_seed, subject_id, sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS k FROM br GROUP BY 1, 2) SELECT split_seed, 'not tested once' AS rule, count(*) AS cases FROM tt WHERE k <> 1 GROUP BY 1")
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_BROKEN}, tt AS (SELECT split_seed, subject_id, sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS k FROM br GROUP BY 1, 2) SELECT split_seed, 'not tested once' AS rule, count(*) AS cases FROM tt WHERE k <> 1 GROUP BY 1 UNION ALL SELECT split_seed, 'empty role', count(*) FROM (SELECT split_seed, outer_fold FROM br GROUP BY 1, 2 HAVING count(DISTINCT role) < 3) GROUP BY 1")
 def split_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that folds break in which every seventh subject of one seed is made a training subject instead of a test subject."""
     moved = (F.col("split_seed") == 58) & (F.col("role") == "test") & (F.col("subject_id") % 7 == 0)
