@@ -57,6 +57,20 @@ def test_a_table_of_ones_own(spark):
     assert lic.scan_licenses(docs, known=known).first().license_id == "Mine"
 
 
+def test_spellings_in_a_row(spark):
+    df = spark.createDataFrame([("Licence licence v v  Sub-License, copyright owner",)], "t string")
+    assert df.select(lic.canonical(lic.F.col("t"))).first()[0] == "license license version version sublicense copyright holder"
+
+
+@pytest.mark.parametrize("separator, dtype", [(49407, "<u4"), (0, "<u2")])
+def test_counts_with_other_separators_and_widths(spark, separator, dtype):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    rows = [(i, "lorem ipsum dolor " * i) for i in range(20)]
+    got = count_document_tokens(spark.createDataFrame(rows, "doc_id long, text string"), separator=separator, dtype=dtype, file_ids=50).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(d, len(library.encode(t, add_special_tokens=False).ids)) for d, t in rows]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_blocks_are_stitched(spark, size):
     rng = np.random.default_rng(size)

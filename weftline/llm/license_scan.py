@@ -103,11 +103,12 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """Canonical form of a licence text: words of letters and digits, each followed by one space."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT_LINE, " "), NOT_WORD, " ")
+    # two spaces between words, so that replacing one leaves the next its own
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT_LINE, " "), NOT_WORD, "  ")
     out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for said, meant in SPELLINGS:
-        out = F.replace(out, F.lit(f" {said} "), F.lit(f" {meant} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {said.replace(' ', '  ')} "), F.lit(f" {meant.replace(' ', '  ')} "))
+    return F.replace(F.trim(out), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:

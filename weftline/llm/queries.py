@@ -110,10 +110,10 @@ def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _canonical_sql(text: str) -> str:
     from weftline.llm.license_scan import COPYRIGHT_LINE, NOT_WORD, SPELLINGS
 
-    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', ' ', 'g'), '{NOT_WORD}', '  ', 'g')) || ' '"
     for said, meant in SPELLINGS:
-        out = f"replace({out}, ' {said} ', ' {meant} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {said.replace(' ', '  ')} ', ' {meant.replace(' ', '  ')} ')"
+    return f"replace(trim({out}), '  ', ' ')"
 
 
 def _known_sql() -> str:
@@ -158,6 +158,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(40), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', x[i + 1])]), '') AS bits FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS keeper,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)]), '') AS payload_digest FROM b)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.warc import round_trip
 
@@ -196,4 +205,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_join": OP4_SQL,
         "op5_license_scan": _op5_sql(),
         "license_notices": _notices_sql(),
+        "op9_warc": OP9_SQL,
     }
