@@ -48,10 +48,10 @@ def test_spans_and_items(spark):
         rows, items = case(seed)
         docs = spark.createDataFrame([(d, t, "keep") for d, t in rows], "doc_id long, text string, contamination string")
         bench = spark.createDataFrame(items, "item_id long, text string")
-        got = add_contamination(docs, bench, block_bytes=block).collect()
+        got = add_contamination(docs, bench, block_words=block).collect()
         seen = sorted((r.doc_id, r.text or "", r.contamination.n_words, sum(s.past - s.first for s in r.contamination.spans), sorted(r.contamination["items"])) for r in got)
         assert seen == sorted((d, t or "", *brute(t, items)) for d, t in rows)
-        clean = drop_contaminated(docs, bench, block_bytes=block)
+        clean = drop_contaminated(docs, bench, block_words=block)
         assert clean.columns == docs.columns and sorted(r.text or "" for r in clean.collect()) == sorted(t or "" for d, t in rows if not brute(t, items)[2])
 
 

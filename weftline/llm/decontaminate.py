@@ -13,9 +13,10 @@ words stand next to each other in it.  The join
    matched place less the token's offset and end inside the document;
 5. verifies the survivors word for word (each word by its 64-bit hash).
 
-Items are taken in blocks of at most `block_bytes` of text, each block broadcast
-for one pass over the documents, so any number of items works and what is
-broadcast has a bound.
+Items are taken in blocks of about `block_words` words (an item stays whole), each
+block broadcast for one pass over the documents, so any number of items works.  A
+word is a window at most, so what the driver builds and broadcasts has a bound:
+some 1.4 kB and 120 bytes a word.
 
 Defined results: a null or empty text has no words, no spans, no items; items
 without words or without an id are left out; repeated document rows are judged
@@ -44,6 +45,8 @@ RESULT = T.StructType([
 ])
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), ("items", pa.list_(pa.string()))])
 _FILTER_BITS = 20
+#: For counting; the words themselves are found by bytes.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _word_hashes(part: tb.TextSlice) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +233,7 @@ def add_contamination(
     out: str = "contamination",
     window: int = 10,
     shingle: int = 3,
-    block_bytes: int = 16 << 20,
+    block_words: int = 400_000,
 ) -> DataFrame:
     """`docs` with a column `out`: words, hit spans (in words) and the items whose windows occur.
 
@@ -239,8 +242,8 @@ def add_contamination(
     spark = docs.sparkSession
     bound_batches(spark)
     kept = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    total = kept.agg(F.sum(F.octet_length("t") + 32)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
+    total = kept.agg(F.sum(F.regexp_count(F.lower("t"), F.lit(_WORD)) + 1)).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_words))
     df = docs.drop(out) if out in docs.columns else docs
     only = docs.select(F.col(text).alias("t"))
     for b in range(blocks):
