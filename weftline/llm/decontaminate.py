@@ -15,8 +15,7 @@ words stand next to each other in it.  The join
 
 Items are taken in blocks of about `block_words` words (an item stays whole), each
 block broadcast for one pass over the documents, so any number of items works.  A
-word is a window at most, so what the driver builds and broadcasts has a bound:
-some 1.4 kB and 120 bytes a word.
+word is a window at most, so what the driver builds and broadcasts has a bound.
 
 Defined results: a null or empty text has no words, no spans, no items; items
 without words or without an id are left out; repeated document rows are judged
