@@ -1,11 +1,12 @@
 """ARC parsing, conversion, and the whole round trip against digests taken directly."""
 
 import base64
+import gzip
 import hashlib
 
 import pytest
 
-from weftline.llm.warc import convert, read_arc, read_warc, round_trip, warc_bytes, write_arc
+from weftline.llm.warc import convert, convert_arc_folder, read_arc, read_warc, round_trip, warc_bytes, write_arc
 
 
 def _b32(data: bytes) -> str:
@@ -50,3 +51,42 @@ def test_pages_with_copies_nulls_and_repeats(spark):
     assert round_trip(pages.limit(0)).count() == 0
     big = round_trip(pages, min_revisit_bytes=5).where("payload_bytes < 5")
     assert {r.record_type for r in big.collect()} == {"response"}
+
+
+def test_folder_of_archives(spark, tmp_path):
+    def records(name):
+        return [(f"http://{name}/{i}", "10.0.0.1", "20010203040506", "text/html", f"HTTP/1.0 200 OK\r\n\r\n{name} {i}".encode() * (1 + i)) for i in range(5)]
+
+    arcs = tmp_path / "arcs"
+    (arcs / "deep").mkdir(parents=True)
+    plain = write_arc(1, "a.arc", records("a"))
+    (arcs / "a.arc").write_bytes(plain)
+    (arcs / "deep" / "a.arc").write_bytes(write_arc(2, "a.arc", records("deep")))
+    # one gzip member a record, as crawlers write them
+    whole = write_arc(2, "b.arc", records("b"))
+    cuts = [r.offset for r in read_arc(whole)] + [len(whole)]
+    members = [gzip.compress(whole[a:b]) for a, b in zip([0, *cuts[1:]], cuts[1:])]
+    (arcs / "b.arc.gz").write_bytes(b"".join(members))
+    (arcs / "cut.arc.gz").write_bytes(b"".join(members)[:-30])
+    (arcs / "bad.arc").write_bytes(plain + b"no header here\n")
+    (arcs / "empty.arc").write_bytes(b"")
+    (arcs / "other.txt").write_bytes(b"not an archive")
+    out = tmp_path / "out"
+    for _ in range(2):  # again writes the same files
+        made = convert_arc_folder(spark, str(arcs), f"file://{out}", file_bytes=200).collect()
+    assert {r.source.rpartition("/")[2] for r in made if r.error} == {"cut.arc.gz", "bad.arc"}
+    assert sorted(str(p) for p in out.iterdir()) == sorted(r.file for r in made if r.file)
+    got = {}
+    for r in made:
+        if r.file:
+            with open(r.file, "rb") as f:
+                found = list(read_warc(f.read()))
+            assert len(found) == r.records
+            got.setdefault(r.source.partition("/arcs/")[2], []).extend(found)
+    for name, label in (("a.arc", "a"), ("deep/a.arc", "deep"), ("b.arc.gz", "b"), ("bad.arc", "a")):
+        about, *rest = got[name]
+        assert about.headers["WARC-Type"] == "warcinfo"
+        assert [(w.headers["WARC-Target-URI"], w.block) for w in rest] == [(u, b) for u, _, _, _, b in records(label)]
+    assert [w.headers["WARC-Target-URI"] for w in got["cut.arc.gz"][1:]] == [f"http://b/{i}" for i in range(4)]
+    ids = [w.headers["WARC-Record-ID"] for found in got.values() for w in found]
+    assert len(set(ids)) == len(ids)

@@ -14,6 +14,7 @@ Spark's reader of whole files, which are kept small.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import re
@@ -21,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -83,31 +85,31 @@ def write_arc(version: int, name: str, records: list[tuple[str, str, str, str, b
     return out.getvalue()
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file; the first describes the file.  A body shorter than declared is marked."""
-    at, version = 0, 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+def read_arc(data: bytes | BinaryIO) -> Iterator[ArcRecord]:
+    """Records of an ARC file or stream; the first describes the file.  A body shorter than declared is marked."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    begin, version = 0, 0
+    while whole := stream.readline():
+        line = whole.lstrip(b"\r\n")
+        at, begin = begin + len(whole) - len(line), begin + len(whole)
+        if not line:
             continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "surrogateescape").rstrip("\r")
-        begin = end + 1 if end >= 0 else len(data)
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
         if not version:
-            declared = line.rpartition(" ")[2]
-            if not line.startswith("filedesc://") or not declared.isdigit():
+            declared = text.rpartition(" ")[2]
+            if not text.startswith("filedesc://") or not declared.isdigit():
                 raise ValueError("an ARC file begins with a filedesc record")
-            first = data[begin : begin + int(declared)].split(None, 1)
+            body = stream.read(int(declared))
+            first = body.split(None, 1)
             version = int(first[0]) if first and first[0] in (b"1", b"2") else 1
-            fields = _ARC_LINE[version].fullmatch(line) or _ARC_LINE[1].fullmatch(line)
+            fields = _ARC_LINE[version].fullmatch(text) or _ARC_LINE[1].fullmatch(text)
         else:
-            fields = _ARC_LINE[version].fullmatch(line)
+            fields = _ARC_LINE[version].fullmatch(text)
+            body = stream.read(int(fields["length"])) if fields else b""
         if not fields:
-            raise ValueError(f"no ARC version {version} header at byte {at}: {line[:200]!r}")
-        length = int(fields["length"])
-        body = data[begin : begin + length]
-        yield ArcRecord(version, fields["url"], fields["ip"], fields["date"].ljust(14, "0"), fields["type"], body, at, len(body) < length)
-        at = begin + length
+            raise ValueError(f"no ARC version {version} header at byte {at}: {text[:200]!r}")
+        begin += len(body)
+        yield ArcRecord(version, fields["url"], fields["ip"], fields["date"].ljust(14, "0"), fields["type"], body, at, len(body) < int(fields["length"]))
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes] | None:
@@ -186,48 +188,110 @@ def _http(page_id: object, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{about}\r\n".encode() + payload
 
 
-def _converting(folder: str, date: str, file_bytes: int):
-    """Pages to ARC files in memory (both versions in turn), these through the converter, the records to WARC files."""
+class _Archives:
+    """WARC files of about `file_bytes` in `folder`; each appears under its name only when it is complete."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, folder: str, label: str, file_bytes: int):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.root, recursive=True)
         task = TaskContext.get()
-        part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
-        done: list[tuple[str, int, int]] = []
-        held, size, turn = [], 0, 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                name = f"{root}/part-{part:06d}-{len(done):05d}.warc.gz"
-                with store.open_output_stream(f"{name}.{attempt}.tmp") as f:
-                    f.write(b"".join(held))
-                store.move(f"{name}.{attempt}.tmp", name)
-                done.append((name, len(held), size))
-            held, size = [], 0
+        self.attempt = task.taskAttemptId() if task else 0
+        self.label, self.file_bytes = label, file_bytes
+        self.done: list[tuple[str, int, int]] = []  # name, records, bytes
+        self.held: list[bytes] = []
+        self.size = 0
+
+    def add(self, record: WarcRecord) -> None:
+        self.held.append(warc_bytes(record))
+        self.size += len(self.held[-1])
+        if self.size > self.file_bytes:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            name = f"{self.root}/{self.label}-{len(self.done):05d}.warc.gz"
+            with self.store.open_output_stream(f"{name}.{self.attempt}.tmp") as f:
+                f.write(b"".join(self.held))
+            self.store.move(f"{name}.{self.attempt}.tmp", name)
+            self.done.append((name, len(self.held), self.size))
+        self.held, self.size = [], 0
 
-        for batch in batches:
+
+def _converting(folder: str, date: str, file_bytes: int):
+    """Pages to ARC files in memory (both versions in turn), these through the converter, the records to WARC files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part = task.partitionId() if task else 0
+        archives = _Archives(folder, f"part-{part:06d}", file_bytes)
+        for turn, batch in enumerate(batches, 1):
             rows = batch.to_pylist()
-            turn += 1
             source = f"part-{part:06d}-{turn:06d}.arc"
             arc = write_arc(1 + turn % 2, source, [(r["url"], "0.0.0.0", date, "text/html", _http(r["page_id"], r["payload"])) for r in rows])
             for k, record in enumerate(read_arc(arc)):
                 r = rows[k - 1] if k else None
-                identity = f"{r['digest']}/{r['page_id']}" if r and r["page_id"] is not None else None
-                refers = record_id(f"{r['digest']}/{r['keeper']}") if r and r["keeper"] is not None and r["keeper"] != r["page_id"] else None
-                held.append(warc_bytes(convert(record, source, identity=identity, refers_to=refers)))
-                size += len(held[-1])
-                if size > file_bytes:
-                    flush()
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["file", "records", "bytes"])
+                identity, refers = f"{folder}/{source}#{record.offset}", None
+                if r and r["page_id"] is not None:
+                    if r["keeper"] is not None and r["keeper"] != r["page_id"]:
+                        refers = record_id(f"{r['digest']}/{r['keeper']}")
+                    else:
+                        identity = f"{r['digest']}/{r['page_id']}"
+                elif r and r["keeper"] is not None:
+                    refers = record_id(f"{r['digest']}/{r['keeper']}")
+                archives.add(convert(record, source, identity=identity, refers_to=refers))
+        archives.flush()
+        columns = list(zip(*archives.done, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "records", "bytes"])
 
     return run
 
 
+_CONVERTED = "source string, file string, records long, bytes long, error string"
+
+
+def _converting_files(folder: str, file_bytes: int):
+    """Rows of (path, content) of ARC files, plain or of gzip members, to WARC files and their manifest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                archives = _Archives(folder, f"{path.rpartition('/')[2]}-{hashlib.sha1(path.encode()).hexdigest()[:12]}", file_bytes)
+                stream = io.BufferedReader(pa.BufferReader(content.as_buffer()))
+                error = None
+                try:
+                    packed = content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b"
+                    for record in read_arc(gzip.GzipFile(fileobj=stream) if packed else stream):
+                        archives.add(convert(record, path))
+                except (ValueError, EOFError, OSError, zlib.error) as wrong:
+                    error = str(wrong).encode("utf-8", "replace").decode()
+                archives.flush()
+                made += [(path, *row, None) for row in archives.done]
+                if error is not None:
+                    made.append((path, None, 0, 0, error))
+            columns = list(zip(*made, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _CONVERTED.split(", ")])
+
+    return run
+
+
+def convert_arc_folder(spark: SparkSession, source: str, folder: str, *, glob: str = "*.{arc,arc.gz}", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Converts all ARC files below `source`, plain or gzip, to WARC files in `folder`; (source, file, records, bytes, error).
+
+    A row is a file written; a file that is damaged has what stands before the damage converted and one more row, without
+    a file, that says what is wrong.  A last body shorter than declared is kept and marked as truncated; empty files give
+    no row.  Files of one name in different folders stay apart, and running again writes the same names and identifiers.
+    Files are read whole, so one may have up to 2 GB.
+    """
+    scratch = Scratch(spark, "arc")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source).select("path", "content")
+    with batch_rows(spark, 1):  # rows are whole files here
+        return scratch.save(files.mapInArrow(_converting_files(folder, file_bytes), _CONVERTED), "manifest")
+
+
 _READ = "page_id string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_record string, url string, date string"
 
 
@@ -256,8 +320,9 @@ def archive_pages(pages: DataFrame, folder: str, *, page_id: str = "page_id", ur
     """Writes a WARC record for each page to `folder`, by way of ARC records; a table of the files written.
 
     Of pages with equal payloads of `min_revisit_bytes` or more, the one with the largest id is the response and the
-    others revisit it.  Null payloads are empty.  Rows that repeat the largest id are all responses; rows without an
-    id are revisits if another row of their payload has one, else responses.
+    others revisit it.  Null payloads are empty.  Rows that repeat the largest id are all responses, of one identifier;
+    rows without an id are revisits if another row of their payload has one, else responses.  Columns beyond the three
+    are ignored, whatever their names.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
