@@ -113,6 +113,13 @@ def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray, ste
     return share, np.add.reduceat(n * np.log(mix), starts)
 
 
+def _reach(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """A bound of the log-likelihood that any proportions can have: it is concave, so its tangent at `share` lies above it."""
+    mix = (p * np.repeat(share, np.diff(np.append(starts, len(n))), axis=0)).sum(axis=1)
+    slope = np.add.reduceat(p * (n / mix)[:, None], starts, axis=0)
+    return np.add.reduceat(n * np.log(mix), starts) + slope.max(axis=1) - np.add.reduceat(n, starts)
+
+
 def infer(row: np.ndarray, slot: np.ndarray, n: np.ndarray, model: LanguageModel, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have trigrams and the proportions of their chosen languages (zero for the others)."""
     if not len(row):
@@ -125,7 +132,8 @@ def infer(row: np.ndarray, slot: np.ndarray, n: np.ndarray, model: LanguageModel
     p = np.exp(log_p - top[:, None])
     single = np.add.reduceat((log_p - top[:, None]) * n[:, None], starts, axis=0)
     k = p.shape[1]
-    share, full = _em(p, n, starts, np.full((len(starts), k), 1.0 / k), steps)
+    share, _ = _em(p, n, starts, np.full((len(starts), k), 1.0 / k), steps)
+    full = _reach(p, n, starts, share)
     order = np.argsort(-share, axis=1, kind="stable")
     price = model.penalty * np.log(np.maximum(np.add.reduceat(n, starts), 2))
     best_one = np.argmax(single, axis=1)
