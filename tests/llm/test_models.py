@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -77,6 +78,85 @@ def test_language_mixtures_and_awkward_rows(spark):
     assert {r.language.lang for r in langid.identify_languages(docs, none).collect()} == {"und"}
 
 
+def test_mixtures_equal_plain_em():
+    rng = np.random.default_rng(8)
+    log_p = np.log(rng.dirichlet(np.full(64, 0.3), 4).T).astype(np.float32)
+    model = langid.LanguageModel(list("abcd"), log_p, 6.0, [0.25] * 4)
+    mixes = [[1, 0, 0, 0], [0.5, 0.5, 0, 0], [0.9, 0, 0.1, 0], [0.4, 0.3, 0.3, 0], [0.25] * 4, [0, 0.97, 0, 0.03]] * 4
+    chance = np.exp(log_p.astype(float)) / np.exp(log_p.astype(float)).sum(axis=0)
+    counts = [rng.multinomial(40 * 3 ** (i // 6), chance @ np.array(m)) for i, m in enumerate(mixes)]
+    row, slot = np.nonzero(np.array(counts))
+    rows, chosen = langid.infer(row, slot, np.array(counts)[row, slot], model)
+    assert rows.tolist() == list(range(len(mixes)))
+
+    def em(own, n, share, steps):
+        for _ in range(steps):
+            joint = [[pi * s for pi, s in zip(line, share)] for line in own]
+            ll = sum(c * math.log(sum(j)) for c, j in zip(n, joint))
+            share = [sum(c * j[k] / sum(j) for c, j in zip(n, joint)) / sum(n) for k in range(len(share))]
+        return share, ll
+
+    several = 0
+    for r, count in enumerate(counts):
+        at = np.flatnonzero(count)
+        own, n = np.exp(log_p[at].astype(float)).tolist(), count[at].tolist()
+        price = 6.0 * math.log(max(2, sum(n)))
+        first, _ = em(own, n, [0.25] * 4, 8)
+        order = sorted(range(4), key=lambda k: -first[k])
+        singles = [sum(c * math.log(line[k]) for c, line in zip(n, own)) for k in range(4)]
+        best, share = max(singles), [float(k == singles.index(max(singles))) for k in range(4)]
+        for size in (2, 3, 4):
+            begin = [max(first[k], 1e-6) if k in order[:size] else 0.0 for k in range(4)]
+            fitted, ll = em(own, n, [b / sum(begin) for b in begin], 8)
+            if ll - price * (size - 1) > best:
+                best, share = ll - price * (size - 1), fitted
+        several += sum(s > 0 for s in share) > 1
+        assert np.allclose(chosen[r], share, atol=1e-6)
+    assert 5 < several < len(counts)
+
+
+def plain_statistics(text):
+    """The statistics of a text by plain loops over characters, words and lines."""
+    ascii_letter = lambda ch: "a" <= ch <= "z" or "A" <= ch <= "Z"
+    small = "".join(ch.lower() if "A" <= ch <= "Z" else ch for ch in text)
+    chars = max(1, len(text))
+    words = [w for w in re.split("[ \\t\\n\\v\\f\\r]+", text) if w]
+    plain = [w for w in re.split("[ \\t\\n\\v\\f\\r]+", small) if w]
+    lines, plain_lines = [x for x in text.split("\n") if x], [x for x in small.split("\n") if x]
+    n, m = max(1, len(words)), max(1, len(lines))
+    length = lambda w: len(w.encode())
+    # letters are bytes: each byte of a character beyond ASCII counts as one
+    letters = lambda w: sum(1 if ascii_letter(ch) else length(ch) if ord(ch) > 127 else 0 for ch in w)
+    capital = lambda w: sum("A" <= ch <= "Z" or "\u00c0" <= ch <= "\u00de" for ch in w)
+    count = lambda signs: sum(ch in signs for ch in text) / chars
+    pairs = list(zip(plain, plain[1:]))
+    return {
+        "log_chars": math.log1p(len(text)), "log_words": math.log1p(len(words)), "log_lines": math.log1p(len(lines)),
+        "word_chars": chars / n, "line_words": n / m, "upper": capital(text) / max(1, letters(text)),
+        "digit": count("0123456789"), "space": count(" \t\n\v\f\r"), "wide": sum(ord(ch) > 127 for ch in text) / chars,
+        "stop_sign": count(".,;:?"), "bracket": count("()[]{}<>"), "exclaim": count("!"), "pipe": count("|"),
+        "odd_sign": count("#$%&*"), "other_sign": count("\"'+-/=@\\^_`~"),
+        "signed_word": sum(w[-1] in "#$%&*!|" for w in words) / n,
+        "shout_word": sum(letters(w) == capital(w) > 2 for w in words) / n,
+        "short_word": sum(length(w) <= 2 for w in words) / n, "long_word": sum(length(w) >= 14 for w in words) / n,
+        "distinct_words": len(set(plain)) / n, "top_word": max(Counter(plain).values(), default=0) / n,
+        "same_as_last": sum(a == b for a, b in pairs) / n, "distinct_pairs": len(set(pairs)) / n,
+        "distinct_lines": len(set(plain_lines)) / m, "stopped_lines": sum(x[-1] in ".?!\"" for x in lines) / m,
+    }
+
+
+def test_statistics_equal_plain_loops(spark):
+    rng = random.Random(9)
+    texts = ["", None, "a", "\n\n", "One. one! ONE|\nTwo two\n\nTwo two", "É É éÀ ÜBER große", "x\v y\fz\r\n", "Æ中文 文 — ok"]
+    texts += ["".join(rng.choice("abcAB é中É.!?|#$(\"-_7 \n\n  ") for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.with_statistics(docs).collect():
+        want = plain_statistics(texts[r.doc_id] or "")
+        got = r.statistics.asDict()
+        assert {k for k in want if not math.isclose(want[k], got[k], abs_tol=1e-9)} == set(), (texts[r.doc_id], want, got)
+    assert set(want) == set(quality.STATISTICS)
+
+
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 

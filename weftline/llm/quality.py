@@ -103,9 +103,13 @@ def statistics(part: tb.TextSlice) -> np.ndarray:
     hashes = tb.span_hashes(data, s, e)
     line_hashes = tb.span_hashes(data, lines.starts, lines.ends)
     distinct, top = _distinct(hashes, rows)
-    pairs = tb.window_hashes(hashes, 2)
-    pair_bounds = np.minimum(np.concatenate([rows[:1], rows[1:]]), len(pairs))
-    same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.empty(0, bool)
+    # pairs of words of one row; a row's last word has none with the next row's first
+    owner = np.repeat(np.arange(part.rows), np.diff(rows))
+    inside = owner[1:] == owner[:-1]
+    pairs = tb.window_hashes(hashes, 2)[inside]
+    before = np.concatenate([[0], np.cumsum(inside)])
+    pair_bounds = before[np.minimum(rows, len(before) - 1)]
+    same = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & inside]) if len(hashes) else np.empty(0, bool)
     n_lines = np.maximum(1, np.diff(lines.row_offsets)).astype(float)
     out |= {
         "log_chars": np.log1p(chars),
