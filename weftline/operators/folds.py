@@ -100,29 +100,51 @@ def cohort(subjects: DataFrame, minimum_posts: int) -> DataFrame:
 
 
 def split_summary(assignments: DataFrame) -> DataFrame:
-    return assignments.groupBy("split_seed", "outer_fold", "role").agg(
-        F.count("*").alias("subjects"),
-        F.sum("post_count").alias("posts"),
-        F.sum("split_post_count").alias("selected_posts"),
-        F.sum((F.col("label_id") == 1).cast("long")).alias("positives"),
+    """Per fold and role: subjects, posts, posts in the window, positives, and a map of labels to subjects."""
+    group = ["split_seed", "outer_fold", "role"]
+    each = assignments.groupBy(*group, "label_id").agg(F.count("*").alias("n"), F.sum("post_count").alias("posts"), F.sum("split_post_count").alias("selected_posts"))
+    return each.groupBy(*group).agg(
+        F.sum("n").alias("subjects"),
+        F.sum("posts").alias("posts"),
+        F.sum("selected_posts").alias("selected_posts"),
+        F.sum(F.when(F.col("label_id") == 1, F.col("n")).otherwise(0)).alias("positives"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label_id", "n")))).alias("labels"),
     )
 
 
+def role_counts(assignments: DataFrame) -> DataFrame:
+    """Per fold, a column for the subjects of each role and label, such as `train_1`."""
+    return assignments.groupBy("split_seed", "outer_fold").agg(
+        *(F.sum(((F.col("role") == r) & (F.col("label_id") == v)).cast("long")).alias(f"{r}_{v}") for r in ROLES for v in (0, 1))
+    )
+
+
+def post_extent(assignments: DataFrame) -> DataFrame:
+    """Per fold and role: fewest, most and all posts of a subject's window."""
+    c = "split_post_count"
+    return assignments.groupBy("split_seed", "outer_fold", "role").agg(F.min(c).alias("fewest"), F.max(c).alias("most"), F.sum(c).alias("total"))
+
+
 def violations(assignments: DataFrame, subjects: DataFrame, folds: int) -> DataFrame:
-    """(split_seed, rule, cases): every way in which assignments aren't nested folds; no rows if they are."""
-    seeds = assignments.select("split_seed").distinct()
-    per_fold = assignments.groupBy("split_seed", "outer_fold")
-    bad = [
-        ("unknown role", assignments.where(~F.col("role").isin(*ROLES)).select("split_seed")),
-        ("repeated subject", assignments.groupBy("split_seed", "outer_fold", "subject_id").count().where("count > 1").select("split_seed")),
-        ("fold out of range", assignments.where((F.col("outer_fold") < 0) | (F.col("outer_fold") >= folds)).select("split_seed")),
-        ("empty role", per_fold.agg(*(F.sum((F.col("role") == r).cast("long")).alias(r) for r in ROLES)).where(F.least(*ROLES) == 0).select("split_seed")),
-        ("not tested once", assignments.groupBy("split_seed", "subject_id").agg(F.sum((F.col("role") == "test").cast("long")).alias("t")).where("t != 1").select("split_seed")),
-        ("missing fold", per_fold.count().groupBy("split_seed").count().where(F.col("count") != folds).select("split_seed")),
-        ("uncovered subject", seeds.join(subjects.select("subject_id")).join(assignments, ["split_seed", "subject_id"], "left_anti").select("split_seed")),
-    ]
-    found: Iterator[DataFrame] = (df.groupBy("split_seed").count().select("split_seed", F.lit(rule).alias("rule"), F.col("count").alias("cases")) for rule, df in bad)
-    first, *rest = found
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    """(split_seed, rule, cases): every way in which assignments aren't nested folds; no rows if they are.
+
+    The assignments are read twice, once by subject and once by fold.
+    """
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    is_ = lambda r: F.col("role") == r
+    cells = assignments.groupBy("split_seed", "subject_id", "outer_fold").agg(F.count("*").alias("rows"), n(~F.col("role").isin(*ROLES)).alias("unknown"), n(is_("test")).alias("tested"))
+    outside = (F.col("outer_fold") < 0) | (F.col("outer_fold") >= folds)
+    each = cells.groupBy("split_seed", "subject_id").agg(
+        F.sum("unknown").alias("unknown"), n(F.col("rows") > 1).alias("repeated"), F.sum(F.when(outside, F.col("rows")).otherwise(0)).alias("outside"), F.sum("tested").alias("tested")
+    )
+    known = subjects.select("subject_id").distinct()
+    each = each.join(known.withColumn("known", F.lit(True)), "subject_id", "left")
+    by_subject = each.groupBy("split_seed").agg(
+        F.sum("unknown").alias("unknown role"), F.sum("repeated").alias("repeated subject"), F.sum("outside").alias("fold out of range"), n(F.col("tested") != 1).alias("not tested once"), n(F.col("known")).alias("covered")
+    )
+    per_fold = assignments.groupBy("split_seed", "outer_fold").agg(*(n(is_(r)).alias(r) for r in ROLES))
+    by_fold = per_fold.groupBy("split_seed").agg(n(F.least(*ROLES) == 0).alias("empty role"), (F.count("*") != folds).cast("long").alias("missing fold"))
+    all_ = by_subject.join(by_fold, "split_seed").join(known.agg(F.count("*").alias("all")))  # the last is a single row
+    all_ = all_.withColumn("uncovered subject", F.col("all") - F.col("covered"))
+    rules = ("unknown role", "repeated subject", "fold out of range", "empty role", "not tested once", "missing fold", "uncovered subject")
+    return all_.select("split_seed", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("cases")) for r in rules)))).where("cases > 0")

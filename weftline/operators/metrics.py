@@ -64,9 +64,17 @@ def t_critical(n: Column) -> Column:
     return F.when(n >= 2, F.coalesce(F.get(table, (n - 2).cast("int")), F.lit(1.96)))
 
 
+def moments(value: str) -> list[Column]:
+    """Aggregates that `with_interval` needs: n, mean, sample SD."""
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sample_sd")]
+
+
 def intervals(values: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """n, mean, sample SD and 95 % interval; spread is null for one value."""
-    df = values.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sample_sd"))
+    return with_interval(values.groupBy(*group).agg(*moments(value)))
+
+
+def with_interval(df: DataFrame) -> DataFrame:
     margin = t_critical(F.col("n")) * F.col("sample_sd") / F.sqrt("n")
     return df.withColumn("ci95_low", F.col("mean") - margin).withColumn("ci95_high", F.col("mean") + margin)
 

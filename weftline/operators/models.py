@@ -112,6 +112,23 @@ def standardizer(rows: DataFrame, keys: Sequence[str], feature: str = "feature",
     return rows.groupBy(*keys, feature).agg(F.avg(value).alias("mean"), scale.alias("scale"))
 
 
+def feature_moments(rows: DataFrame, keys: Sequence[str], feature: str = "feature", value: str = "value") -> DataFrame:
+    """(keys, feature, n, value, m2, low, high) of rows such as a subject's posts; `value` is the mean, m2 the sum of squared distances to it."""
+    return rows.groupBy(*keys, feature).agg(F.count(value).alias("n"), F.avg(value).alias("value"), (F.var_pop(value) * F.count(value)).alias("m2"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def pooled_standardizer(moments: DataFrame, keys: Sequence[str], feature: str = "feature") -> DataFrame:
+    """As `standardizer`, from rows of `feature_moments`: folds then meet rows of subjects rather than of posts.
+
+    The spread of the means is summed about the pooled mean, so nothing cancels.
+    """
+    mean = (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean")
+    centre = moments.groupBy(*keys, feature).agg(mean)
+    about = F.col("n") * (F.col("value") - F.col("mean")) ** 2
+    scale = F.when(F.max("high") == F.min("low"), F.lit(1.0)).otherwise(F.sqrt(F.sum(F.col("m2") + about) / F.sum("n")))
+    return moments.join(centre, [*keys, feature]).groupBy(*keys, feature).agg(F.first("mean").alias("mean"), scale.alias("scale"))
+
+
 def standardize(rows: DataFrame, fitted: DataFrame, keys: Sequence[str], feature: str = "feature", value: str = "value") -> DataFrame:
     return rows.join(fitted, [*keys, feature]).withColumn(value, (F.col(value) - F.col("mean")) / F.col("scale")).drop("mean", "scale")
 

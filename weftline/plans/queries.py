@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import identity as ident
 from weftline.functions import metadata as meta
 from weftline.functions import text as txt
+from weftline.operators import audits as aud
 from weftline.operators import constraints as con
 from weftline.operators import folds as fo
 from weftline.operators import metrics as met
@@ -379,7 +380,23 @@ WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL} SELECT split_seed, outer_fold, role, c
 """
 )
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fo.split_summary(assignments(spark, sf_dir))
+    return fo.split_summary(assignments(spark, sf_dir)).drop("labels")
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL} SELECT split_seed, outer_fold, role, label_id, count(*) AS n FROM roles GROUP BY ALL")
+def split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label maps of the split summary, a row per entry."""
+    return fo.split_summary(assignments(spark, sf_dir)).select("split_seed", "outer_fold", "role", F.explode("labels").alias("label_id", "n"))
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL} SELECT split_seed, outer_fold, " + ", ".join(f"count(*) FILTER (WHERE role = '{r}' AND label_id = {v}) AS {r}_{v}" for r in fo.ROLES for v in (0, 1)) + " FROM roles GROUP BY ALL")
+def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.role_counts(assignments(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL} SELECT split_seed, outer_fold, role, CAST(min(split_post_count) AS BIGINT) AS fewest, CAST(max(split_post_count) AS BIGINT) AS most, CAST(sum(split_post_count) AS BIGINT) AS total FROM roles GROUP BY ALL")
+def post_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fo.post_extent(assignments(spark, sf_dir))
 
 
 _BROKEN = "br AS (SELECT split_seed, subject_id, outer_fold, CASE WHEN split_seed = 58 AND role = 'test' AND subject_id % 7 = 0 THEN 'train' ELSE role END AS role FROM roles)"
@@ -591,14 +608,32 @@ def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH RECURSIVE {_SUBJECTS}, {_PRED} SELECT 'meta' AS experiment, 'repeated partition' AS problem, CAST(1 AS BIGINT) AS cases
 UNION ALL SELECT 'text', 'uneven coverage', count(DISTINCT subject_id) FROM pr WHERE subject_id % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'meta', 'fold numbering', CAST(1 AS BIGINT)
+UNION ALL SELECT 'full', 'label changed', count(DISTINCT subject_id) FROM pr WHERE subject_id % 9 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'full', 'repeated subject', count(DISTINCT subject_id) FROM pr WHERE subject_id % 13 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'one', 'single repetition', CAST(1 AS BIGINT)
+UNION ALL SELECT 'one', 'undefined metric', CAST(1 AS BIGINT)
 """
 )
 def repetition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with runs of which one uses a partition twice and another lacks subjects in one seed."""
+    """What is wrong with runs in which partitions, subjects, labels, folds or seeds were tampered with."""
     p = _predictions(spark, sf_dir)
     twice = p.where("experiment = 'meta' AND split_seed != 61").unionByName(p.where("experiment = 'meta' AND split_seed = 60").withColumn("split_seed", F.lit(61)))
+    twice = twice.withColumn("outer_fold", F.when((F.col("split_seed") == 59) & (F.col("outer_fold") == 4), 7).otherwise(F.col("outer_fold")))
     short = p.where("experiment = 'text' AND NOT (split_seed = 58 AND subject_id % 5 = 0)")
-    return st.repetition_problems(p.where("experiment = 'full'").unionByName(twice).unionByName(short))
+    turned = (F.col("split_seed") == 60) & (F.col("subject_id") % 9 == 0)
+    full = p.where("experiment = 'full'").withColumn("label", F.when(turned, 1 - F.col("label")).otherwise(F.col("label")))
+    full = full.withColumn("times", F.explode(F.when((F.col("split_seed") == 58) & (F.col("subject_id") % 13 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("times")
+    one = p.where("experiment = 'full' AND split_seed = 61").withColumn("experiment", F.lit("one")).withColumn("label", F.lit(1))
+    return st.repetition_problems(full.unionByName(twice).unionByName(short).unionByName(one))
+
+
+_DIGEST = " || '|' || ".join(f"CAST(sum(CAST('0x' || substr(d, {k}, 15) AS BIGINT)) AS VARCHAR)" for k in (1, 16, 31, 46))
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_PRED}, h AS (SELECT experiment, split_seed, sha256(concat_ws('|', subject_id, label, outer_fold)) AS d FROM pr) SELECT experiment, split_seed, count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '|' || {_DIGEST}) AS fingerprint FROM h GROUP BY 1, 2")
+def oof_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.oof_fingerprint(_predictions(spark, sf_dir), ["experiment", "split_seed"])
 
 
 @query(f"WITH RECURSIVE {_SUBJECTS}, {_PRED} SELECT split_seed, count(*) AS cases FROM pr WHERE experiment = 'full' AND split_seed = 59 AND subject_id % 5 = 0 GROUP BY 1")
@@ -741,21 +776,21 @@ def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- models ------------------------------------------------------------------------------------
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject_id, feature, value) of each post of each subject's window."""
+    window = win.recent(posts(spark, sf_dir), "subject_id", "published_at", "post_id", 64)
+    columns = meta.metadata_columns(F.col("likes"), F.col("comments"), F.col("reposts"), F.col("published_at"))
+    return window.select("subject_id", F.inline(F.array(*(F.struct(F.lit(f"f{k}").alias("feature"), c.alias("value")) for k, c in enumerate(columns)))))
+
+
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Assignments, and standardised metadata means of each subject's window for each fold, fitted on training posts."""
     a = assignments(spark, sf_dir).select("split_seed", "outer_fold", "subject_id", "label_id", "role")
-    window = win.recent(posts(spark, sf_dir), "subject_id", "published_at", "post_id", 64)
-    cells = F.array(*(F.struct(F.lit(f"f{k}").alias("feature"), c.alias("value")) for k, c in enumerate(meta.metadata_columns(F.col("likes"), F.col("comments"), F.col("reposts"), F.col("published_at")))))
-    rows = window.select("subject_id", F.inline(cells))
-    # moments of a subject's posts come first, so the fold join has rows of subjects rather than of posts
-    moments = rows.groupBy("subject_id", "feature").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = _cells(spark, sf_dir)
     keys = ["split_seed", "outer_fold"]
-    folded = a.join(moments, "subject_id")
-    fit = folded.where("role = 'train'").groupBy(*keys, "feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    mean = F.col("s") / F.col("n")
-    scale = F.when(F.col("lo") == F.col("hi"), F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))))
-    fit = fit.select(*keys, "feature", mean.alias("mean"), scale.alias("scale"))
-    means = folded.select(*keys, "subject_id", "label_id", "role", "feature", (F.col("s") / F.col("n")).alias("value"))
+    folded = a.join(mod.feature_moments(rows, ["subject_id"]), "subject_id")
+    fit = mod.pooled_standardizer(folded.where("role = 'train'"), keys)
+    means = folded.select(*keys, "subject_id", "label_id", "role", "feature", "value")
     return a, fit, mod.standardize(means, fit, keys)
 
 
@@ -774,10 +809,14 @@ _SCORE = f"""sm AS (SELECT subject_id, feature, avg(value) AS value FROM fl GROU
 sc AS (SELECT r.split_seed, r.outer_fold, r.subject_id, r.role, any_value(r.label_id) AS label, sum((value - mean) / scale * w) + 0.05 AS decision_value FROM roles r JOIN sm USING (subject_id) JOIN ft ON ft.split_seed = r.split_seed AND ft.outer_fold = r.outer_fold AND ft.feature = sm.feature JOIN cw ON cw.feature = sm.feature GROUP BY 1, 2, 3, 4)"""
 
 
+def _weights(a: DataFrame) -> DataFrame:
+    fixed = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient")) for f, w in _WEIGHTS))
+    return a.select("split_seed", "outer_fold").distinct().select("split_seed", "outer_fold", F.inline(fixed))
+
+
 def _linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, means = _features(spark, sf_dir)
-    fixed = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(w).alias("coefficient")) for f, w in _WEIGHTS))
-    weights = a.select("split_seed", "outer_fold").distinct().select("split_seed", "outer_fold", F.inline(fixed))
+    weights = _weights(a)
     scored = mod.linear_score(means, a, weights)
     return scored.join(a, ["split_seed", "outer_fold", "subject_id"]).withColumnRenamed("label_id", "label").withColumn("experiment", F.lit("linear"))
 
@@ -787,6 +826,34 @@ def linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linear(spark, sf_dir).select("split_seed", "outer_fold", "subject_id", "role", r6("decision_value").alias("decision_value"), r6("score").alias("score"))
 
 
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_WINDOW}, {_FIT} SELECT split_seed, outer_fold, feature, 'mean' AS \"column\", CAST(1 AS DOUBLE) AS gap FROM ft WHERE split_seed = 58 AND feature = 'f2'")
+def scaler_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalers fitted again from all training posts, against stored ones of which one feature's mean was moved in a seed."""
+    a, fit, _ = _features(spark, sf_dir)
+    keys = ["split_seed", "outer_fold"]
+    moved = fit.withColumn("mean", F.col("mean") + F.when((F.col("split_seed") == 58) & (F.col("feature") == "f2"), 1.0).otherwise(0.0))
+    training = a.where("role = 'train'").select(*keys, "subject_id").join(_cells(spark, sf_dir), "subject_id")
+    return aud.scaler_audit(training, moved, keys).select(*keys, "feature", "column", r6(F.col("stored") - F.col("again")).alias("gap"))
+
+
+@query(f"WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_WINDOW}, {_FIT}, {_SCORE} SELECT split_seed, outer_fold, subject_id, 'decision_value' AS \"column\", CAST(0.5 AS DOUBLE) AS gap FROM sc WHERE subject_id % 11 = 0")
+def decision_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions computed again, against stored ones of which every eleventh subject's was moved."""
+    a, _, means = _features(spark, sf_dir)
+    moved = F.col("decision_value") + F.when(F.col("subject_id") % 11 == 0, 0.5).otherwise(0.0)
+    wrong = aud.decision_audit(means, _weights(a), _linear(spark, sf_dir).withColumn("decision_value", moved))
+    return wrong.select("split_seed", "outer_fold", "subject_id", "column", r6(F.col("stored") - F.col("again")).alias("gap"))
+
+
+@query("SELECT 'text' AS experiment, 'f1' AS metric, 'mean' AS \"column\", CAST(0.01 AS DOUBLE) AS gap")
+def summary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of all repetitions computed again, against a stored one with one cell moved."""
+    p = _predictions(spark, sf_dir)
+    cell = (F.col("experiment") == "text") & (F.col("metric") == "f1")
+    stored = st.repeated_summary(p).withColumn("mean", F.col("mean") + F.when(cell, 0.01).otherwise(0.0))
+    return aud.summary_audit(p, stored).select("experiment", "metric", "column", r6(F.col("stored") - F.col("again")).alias("gap"))
+
+
 @query(
     f"""
 WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_WINDOW}, {_FIT}, {_SCORE}, pr AS (SELECT 'linear' AS experiment, split_seed, subject_id, label, round(1 / (1 + exp(-decision_value)), 9) AS score FROM sc WHERE role = 'test'), {_RUNS}
