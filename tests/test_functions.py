@@ -288,3 +288,20 @@ def test_bad_labels_scores_and_missing_subjects_are_errors(spark):
         stats.oof(spark.createDataFrame([*good, ("r", "c", "train", 1, 0.5)], kind), ["run"]).collect()
     with pytest.raises(Exception, match="one test row"):
         stats.oof(spark.createDataFrame(good, kind), ["run"], spark.createDataFrame([("r", "z")], "run string, subject_id string")).collect()
+
+
+def test_audits_notice_moved_missing_and_undefined_rows(spark):
+    from weftline.operators import audits
+
+    kind = "k int, v double, w double"
+    stored = spark.createDataFrame([(1, 1.0, None), (2, 2.0, float("nan")), (3, 3.0, 0.0), (4, 4.0, 4.0)], kind)
+    again = spark.createDataFrame([(1, 1.0 + 1e-12, None), (2, 2.5, float("nan")), (4, 4.0, None), (5, 5.0, 5.0)], kind)
+    found = audits.differences(stored, again, ["k"], ["v", "w"])
+    assert sorted((r.k, r["column"]) for r in found.collect()) == [(2, "v"), (3, "v"), (3, "w"), (4, "w"), (5, "v"), (5, "w")]
+    assert audits.differences(stored.limit(0), again.limit(0), ["k"], ["v", "w"]).count() == 0
+    a = spark.createDataFrame([(58, f"s{i}", 0, i % 2, i / 10) for i in range(6)], "split_seed int, subject_id string, outer_fold int, label int, score double")
+    b = a.withColumn("score", 1 - F.col("score"))
+    fused = stats.fuse(a, b, 0.25)
+    assert audits.fusion_audit(a, b, fused, 0.25).count() == 0
+    moved = fused.withColumn("score", F.col("score") + (F.col("subject_id") == "s2").cast("double"))
+    assert [(r.subject_id, r["column"], r.stored - r.again) for r in audits.fusion_audit(a, b, moved, 0.25).collect()] == [("s2", "score", pytest.approx(1.0))]
