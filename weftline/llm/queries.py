@@ -182,6 +182,97 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.vector_codes import compress
+
+    found = compress(_read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql() -> str:
+    """Two rounds of assignment and floored means, all distances of all parts to all entries."""
+
+    def assigned(book: str) -> str:
+        return f"""SELECT vec_id, p, arg_min(k, (dist, k)) AS k, min(dist) AS dist FROM (
+  SELECT x.vec_id, x.p, b.k, CAST(list_sum([(x.v[j] - b.v[j]) * (x.v[j] - b.v[j]) FOR j IN range(1, len(x.v) + 1)]) AS BIGINT) AS dist FROM x JOIN {book} b USING (p)) GROUP BY vec_id, p"""
+
+    def moved(book: str, codes: str) -> str:
+        return f"""SELECT b.p, b.k, CASE WHEN m.v IS NULL THEN b.v ELSE m.v END AS v FROM {book} b LEFT JOIN (
+  SELECT p, k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS v FROM (
+    SELECT x.p, c.k, j, sum(x.v[j]) AS s, count(*) AS n FROM x JOIN {codes} c USING (vec_id, p), range(1, len(x.v) + 1) t(j) GROUP BY ALL) GROUP BY p, k) m USING (p, k)"""
+
+    return f"""
+WITH e AS (SELECT vec_id, label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM e, range(16) t(p)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, k, v FROM x JOIN s USING (vec_id)),
+c0 AS MATERIALIZED ({assigned("b0")}), b1 AS MATERIALIZED ({moved("b0", "c0")}),
+c1 AS MATERIALIZED ({assigned("b1")}), b2 AS MATERIALIZED ({moved("b1", "c1")}),
+c2 AS MATERIALIZED ({assigned("b2")}),
+o AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM c2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256
+FROM o JOIN e USING (vec_id)
+"""
+
+
+#: Weights of the sources of the mixture, repeating in their order.
+MIX_WEIGHTS = (5, 2, 1)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix, taken_words
+
+    return taken_words(mix(_read(spark, sf_dir, "documents"), MIX_WEIGHTS))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight FROM s1),
+-- sources in the order in which they reach three times their size: with the first c of them full, the level of the rest
+s3 AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source_size / weight, place) AS c FROM s2),
+s4 AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(cap) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caught,
+              sum(weight) OVER (ORDER BY c ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s3),
+lv AS (SELECT (total - caught) / rest AS level FROM s4 WHERE (total - caught) / rest * weight <= cap ORDER BY c LIMIT 1),
+s AS (SELECT source, place, source_size, least(cap, level * weight) AS target FROM s4, lv),
+q AS (SELECT rid, doc_id, size, place, source_size, target, e AS epoch, ('0x' || substr(md5(concat_ws(':', '0', e, coalesce(CAST(doc_id AS VARCHAR), ''), size)), 1, 15))::BIGINT AS draw
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, range(3) t(e) WHERE e = 0 OR (source_size > 0 AND e < ceil(target / source_size))),
+f AS (SELECT *, CAST(sum(size) OVER (PARTITION BY place ORDER BY epoch, draw, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin, CAST(floor(target) AS BIGINT) AS goal FROM q),
+c AS (SELECT *, fin - size AS first, CASE WHEN fin - size < goal AND goal < fin THEN goal ELSE fin END AS last FROM f
+      UNION ALL SELECT *, goal AS first, fin AS last FROM f WHERE fin - size < goal AND goal < fin),
+o AS (SELECT *, CAST(sum(last - first) OVER (ORDER BY CASE WHEN target > 0 THEN last / target ELSE 0 END, place, last, epoch, draw, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS past FROM c)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(last - first, (SELECT sum(size) FROM d) - (past - (last - first))))) AS BIGINT) AS taken
+FROM o GROUP BY rid, doc_id, size, source_size, target
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.collocations import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+       SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)),
+f AS MATERIALIZED (SELECT lang, k, string_split(ph, ' ') AS ph, f FROM (
+       SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS ph, count(*) AS f
+       FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) t(k) WHERE len(ws) >= k) GROUP BY ALL HAVING count(*) >= 100)),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.ph, c.f AS a, l.f AS l, r.f AS r, t.n, j, CAST(1000 * c.f::HUGEINT * t.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:j] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[j + 1:] JOIN t ON t.lang = c.lang),
+w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+g AS (SELECT DISTINCT lang, ph[i:j] AS ph, f FROM c, range(1, 6) t(i), range(1, 6) u(j) WHERE i <= j AND j <= k AND j - i + 1 < k),
+kept AS (SELECT w.* FROM w LEFT JOIN (SELECT lang, ph, max(f) AS f FROM g GROUP BY lang, ph) g USING (lang, ph) WHERE g.f IS NULL OR 100 * g.f < 100 * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(ph, ' '))) AS rank, array_to_string(ph, ' ') AS phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -195,6 +286,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_warc": op9_warc,
         "op10_quality": op10_quality,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_mixing": op12_mixing,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -206,4 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": _op5_sql(),
         "license_notices": _notices_sql(),
         "op9_warc": OP9_SQL,
+        "op11_vector_codes": _op11_sql(),
+        "op12_mixing": OP12_SQL,
+        "op13_collocations": OP13_SQL,
     }
