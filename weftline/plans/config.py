@@ -64,6 +64,7 @@ class LinearExperiment:
     dims: int | None = None
     largest_gram: int = 2
     minimum_df: int = 2
+    distributed: bool = False  # fit by sums over all rows; for cohorts of which a fold's training set is too large for one group
 
     def __post_init__(self) -> None:
         _need(self.solver in ("svm", "logistic") and self.c > 0, "an unknown solver or a penalty that isn't positive")

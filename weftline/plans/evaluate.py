@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import folds as fo
 from weftline.operators import metrics as met
 from weftline.operators import models as mod
+from weftline.operators import newton
 from weftline.operators import pooling, stats, tfidf, windowing
 from weftline.plans.config import Benchmark, LinearExperiment
 
@@ -36,7 +37,8 @@ def _fit_and_score(features: DataFrame, assignments: DataFrame, config: LinearEx
     """Predictions from (keys, subject_id, feature, value) for every role."""
     who = assignments.select(*KEYS, "subject_id", F.col("label_id").alias("label"), "role")
     train = features.join(who.where("role = 'train'"), [*KEYS, "subject_id"])
-    scored = mod.linear_score(features, who, mod.fit_linear(train, config.solver, config.c, KEYS), KEYS)
+    fit = newton.fit_distributed if config.distributed else mod.fit_linear
+    scored = mod.linear_score(features, who, fit(train, config.solver, config.c, KEYS), KEYS)
     return scored.join(who, [*KEYS, "subject_id"]).withColumn("experiment", F.lit(name)).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -931,3 +931,6 @@ def metadata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = mod.standardizer(folded.where("role = 'train'"), keys)
     means = mod.subject_means(mod.standardize(folded, fitted, keys), a, keys, [f"f{k}" for k in range(5)])
     return means.select(*keys, "subject_id", "feature", r6("value").alias("value"))
+
+
+from weftline.plans import model_queries  # noqa: E402,F401  registers its queries on top of what is defined above
