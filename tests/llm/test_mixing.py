@@ -35,10 +35,6 @@ ROWS += [(900, "x " * 5000, "tiny"), (901, None, "empty"), (902, "", "empty"), (
 ROWS += [(77, "again and again", "c")] * 20
 
 
-def test_counts_words():
-    assert words("a b \x0b c\x1cd") == 3
-
-
 def test_targets_and_takes(spark):
     found = [r.asDict() for r in taken_words(mix(documents(spark, ROWS), (5, 2, 1))).collect()]
     assert sorted((str(r["doc_id"]), r["size"]) for r in found) == sorted((str(i), words(t)) for i, t, _ in ROWS)
