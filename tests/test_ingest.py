@@ -24,9 +24,9 @@ def tree(tmp_path):
     _write(tmp_path / "control/users.csv", ["用户id", "x"], [["100", ""], ["101", ""]])
     _write(tmp_path / "positive/users.csv", ["用户id", "x"], [["200", ""], ["201", ""]])
     for g, u in (("control", "100"), ("control", "101"), ("positive", "200")):
-        rows = [["731", "b", "今天下雨，OCD这个词出现了一次", "河边", "", "4", "2", "1", "2021-09-08 17:16:15"]]
+        rows = [["731", "b", "晚饭后练了banjo", "河边", "", "13", "0", "6", "2021-09-08 17:16:15"]]
         if u == "200":
-            rows += [["731", "b", "今天下雨\nOCD出现了", "河边", "", "9", "2", "1", "2021-09-08 17:16:15"], ["", "b", "no id", "", "", "", "", "", ""], ["732", "b", "later", "", "nonsense", "x", "", "", ""]]
+            rows += [["731", "b", "晚饭后\n又练banjo", "河边", "", "9", "8", "5", "2021-09-08 17:16:15"], ["", "b", "no id", "", "", "", "", "", ""], ["732", "b", "later", "", "nonsense", "x", "", "", ""]]
         _write(tmp_path / g / u / f"{u}.csv", POSTS, rows)
         for name in ("pre_731_2.JPG", "odd.png", "pre_5.jpg"):
             p = tmp_path / g / u / "img/original" / name
@@ -47,13 +47,13 @@ def _tables(spark, root):
 
 
 def test_prepare(spark, tree):
-    p = ingest.prepare(_tables(spark, tree), b"key", {"control": ("control", 0), "positive": ("positive", 1)}, ["OCD"])
+    p = ingest.prepare(_tables(spark, tree), b"key", {"control": ("control", 0), "positive": ("positive", 1)}, ["banjo"])
     subjects = p.subjects.collect()
     assert sorted((r.source_group, r.label_id, r.eligible, r.exclusion_reason, r.post_count, r.media_count) for r in subjects) == [
         ("control", 0, True, None, 1, 3), ("control", 0, True, None, 1, 3), ("positive", 1, False, "missing_user_directory", 0, 0), ("positive", 1, True, None, 2, 3),
     ]
     posts = {r.cleaned_text: r for r in p.posts.collect() if r.likes == 9 or r.cleaned_text == "later"}
-    kept = posts["今天下雨\nOCD出现了"]
+    kept = posts["晚饭后\n又练banjo"]
     assert kept.likes == 9 and kept.contains_study_keyword and len(kept.metadata_vector) == 5 and kept.subject_id.startswith("subject-")
     assert posts["later"].published_at is None and posts["later"].likes == 0
     media = p.media.collect()

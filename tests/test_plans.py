@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.neural import stub_encoder
+from weftline.operators import audits
 from weftline.plans import catalog, config, evaluate, features
 from weftline.streaming import ingest as stream
 
@@ -140,6 +141,35 @@ def test_benchmark_checks_alignment(spark, cohort, tmp_path):
         evaluate.benchmark(rows.withColumn("outer_fold", (F.col("outer_fold") + 1) % 5), splits, rule)
 
 
+def test_benchmark_audit_finds_planted_faults_and_nothing_else(spark, cohort, tmp_path):
+    _, subjects = cohort
+    rule = config.Benchmark(reference="a")
+    kept = lambda df, name: (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    splits = kept(evaluate.make_splits(subjects, rule.seeds, rule.folds, 0.2, 21), "splits")
+    noise = (F.abs(F.xxhash64("subject_id", "split_seed", "experiment")) % 100) / 100.0
+    rows = splits.withColumn("experiment", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("label", F.col("label_id")).withColumn("threshold", F.lit(0.5)).withColumn("score", 0.4 * F.col("label") + 0.6 * noise)
+    rows = kept(rows.withColumn("prediction", (F.col("score") >= 0.5).cast("int")), "rows")
+    table, pairs = (kept(df, f"t{k}") for k, df in enumerate(evaluate.ablation_report(rows, "a")))
+    look = lambda a, r, t, p: {(x.part, x.problem): x.cases for x in evaluate.audit_benchmark(subjects, a, r, (t, p), rule, fraction=0.2).collect()}
+    assert look(splits, rows, table, pairs) == {}
+    one = (F.col("split_seed") == 58) & (F.col("subject_id") == "s3")
+    moved = splits.withColumn("role", F.when(one & (F.col("role") == "test"), "train").otherwise(F.col("role")))
+    assert look(moved, rows, table, pairs) == {("splits", "other values"): 1}
+    turned = rows.withColumn("prediction", F.when(one & (F.col("role") == "train"), 1 - F.col("prediction")).otherwise(F.col("prediction")))
+    assert set(look(splits, turned, table, pairs)) == {("predictions", "not the score's")}
+    assert look(splits, rows, table.withColumn("f1", F.col("f1") + 0.01), pairs) == {("means", "other f1"): 1}
+    worse = pairs.withColumn("p_value", F.col("p_value") / 2) if "p_value" in pairs.columns else pairs.withColumn(pairs.columns[-1], F.lit(-1.0))
+    assert {k[0] for k in look(splits, rows, table, worse)} == {"comparisons"}
+
+
+def test_three_sides_are_aligned_in_one_shuffle(spark):
+    base = spark.range(20).select("id", (F.col("id") % 2).alias("v"))
+    sides = {"a": base, "b": base.where("id != 3"), "c": base.withColumn("v", F.when(F.col("id") == 4, 9).otherwise(F.col("v"))).unionByName(base.where("id = 5"))}
+    found = audits.misaligned_sides(sides, ["id"], ["v"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == {(3, "b", "missing"), (4, "c", "other values"), (5, "c", "repeated")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s", f"p{i % 6}", "text OCD" if i % 2 else "分享图片", "", "2026-01-02 03:04", str(i), "", "x", dt.datetime(2026, 1, 2, 3 + i // 5)) for i in range(10)]
     schema = "subject_id string, post_id string, text string, location string, date string, likes string, comments string, reposts string, arrived timestamp"

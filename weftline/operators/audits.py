@@ -44,3 +44,23 @@ def fusion_audit(primary: DataFrame, secondary: DataFrame, fused: DataFrame, wei
     """Where stored fused scores aren't the weighted means of their two sides; the three must hold the same rows."""
     again = stats.fuse(primary, secondary, weight, keys=keys)
     return differences(fused, again, list(keys), ["label", "outer_fold", "score", "prediction"], tolerance)
+
+
+def misaligned_sides(sides: dict[str, DataFrame], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(keys, side, problem) over any number of tables that must hold the same rows: missing, repeated, or other values than the first side's.
+
+    The tables are one tagged union, aggregated once, so three sides cost one shuffle and not two joins.
+    """
+    tagged = None
+    for k, (_, df) in enumerate(sides.items()):
+        part = df.select(*keys, F.lit(k).alias("__side"), F.xxhash64(*(F.coalesce(F.col(v).cast("string"), F.lit("\0")) for v in values)).alias("__v"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    n = len(sides)
+    own = lambda k, c: F.when(F.col("__side") == k, c)
+    each = tagged.groupBy(*keys).agg(*(F.count(own(k, F.lit(1))).alias(f"__n{k}") for k in range(n)), *(F.min(own(k, F.col("__v"))).alias(f"__l{k}") for k in range(n)), *(F.max(own(k, F.col("__v"))).alias(f"__h{k}") for k in range(n)))
+    found = []
+    for k, name in enumerate(sides):
+        other = (F.col(f"__n{k}") > 0) & (F.col("__n0") > 0) & ((F.col(f"__l{k}") != F.col("__l0")) | (F.col(f"__h{k}") != F.col("__h0")))
+        for problem, bad in (("missing", F.col(f"__n{k}") == 0), ("repeated", F.col(f"__n{k}") > 1), ("other values", other)):
+            found.append(F.when(bad, F.struct(F.lit(name).alias("side"), F.lit(problem).alias("problem"))))
+    return each.select(*keys, F.inline(F.filter(F.array(*found), lambda r: r.isNotNull())))

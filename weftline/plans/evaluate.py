@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import audits
 from weftline.operators import folds as fo
 from weftline.operators import metrics as met
 from weftline.operators import models as mod
@@ -102,3 +103,28 @@ def markdown(table: DataFrame, comparisons: DataFrame, most: int = 1000) -> str:
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)
+
+
+def audit_benchmark(subjects: DataFrame, assignments: DataFrame, predictions: DataFrame, stored: tuple[DataFrame, DataFrame], config: Benchmark, *, fraction: float, tolerance: float = 1e-9) -> DataFrame:
+    """(part, item, problem, cases): everything of a controlled benchmark that a second computation doesn't find again.
+
+    Folds are dealt anew from the subjects; every experiment's out-of-fold rows must be the test rows of these folds;
+    predictions follow from scores and thresholds; the table of means and the paired comparisons follow from the rows.
+    """
+    dealt = make_splits(subjects, config.seeds, config.folds, fraction, config.strictly_more_posts_than + 1)
+    keys = ["split_seed", "outer_fold", "subject_id"]
+    count = lambda df, part, item: df.groupBy(item.alias("item"), F.col("problem")).agg(F.count("*").alias("cases")).select(F.lit(part).alias("part"), "item", "problem", "cases")
+    split = audits.misaligned_sides({"dealt": dealt, "stored": assignments}, keys, ["role", "label_id"])
+    out = count(split, "splits", F.concat_ws(" ", F.lit("seed"), F.col("split_seed").cast("string")))
+    names = predictions.select("experiment").distinct()
+    want = dealt.where("role = 'test'").select(*keys, F.col("label_id").alias("label")).join(F.broadcast(names))  # a handful of models
+    rows = audits.misaligned_sides({"folds": want, "rows": predictions.where("role = 'test'")}, ["experiment", *keys], ["label"])
+    out = out.unionByName(count(rows, "rows", F.col("experiment")))
+    wrong = predictions.where(~F.coalesce((F.col("score") >= F.col("threshold")).cast("int") == F.col("prediction"), F.lit(False))).withColumn("problem", F.lit("not the score's"))
+    out = out.unionByName(count(wrong, "predictions", F.col("experiment")))
+    for part, kept, again, on in zip(("means", "comparisons"), stored, ablation_report(predictions, config.reference), (["experiment"], None), strict=True):
+        on = on or [c for c in again.columns if again.schema[c].dataType.typeName() == "string"]
+        numbers = [c for c in again.columns if c not in on]
+        moved = audits.differences(kept, again, on, numbers, tolerance)
+        out = out.unionByName(count(moved.withColumn("problem", F.concat(F.lit("other "), F.col("column"))), part, F.concat_ws(" ", *on)))
+    return out

@@ -933,4 +933,22 @@ def metadata_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select(*keys, "subject_id", "feature", r6("value").alias("value"))
 
 
-from weftline.plans import model_queries  # noqa: E402,F401  registers its queries on top of what is defined above
+
+_SIDES = "s1 AS (SELECT split_seed, subject_id, outer_fold FROM roles WHERE role = 'test')"
+
+
+@query(
+    f"""WITH RECURSIVE {_SUBJECTS}, {_NESTED_SQL}, {_SIDES}
+SELECT split_seed, 'second' AS side, 'missing' AS problem, count(*) AS cases FROM s1 WHERE subject_id < 7 GROUP BY 1
+UNION ALL SELECT split_seed, 'third', 'other values', count(*) FROM s1 WHERE subject_id BETWEEN 10 AND 14 GROUP BY 1
+UNION ALL SELECT split_seed, 'third', 'repeated', count(*) FROM s1 WHERE subject_id BETWEEN 20 AND 22 GROUP BY 1"""
+)
+def aligned_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows of all subjects against two copies with faults: some rows gone, some in another fold, some twice."""
+    rows = assignments(spark, sf_dir).where("role = 'test'").select("split_seed", "subject_id", "outer_fold")
+    third = rows.withColumn("outer_fold", F.when(F.col("subject_id").between(10, 14), F.col("outer_fold") + 1).otherwise(F.col("outer_fold"))).unionByName(rows.where("subject_id BETWEEN 20 AND 22"))
+    found = aud.misaligned_sides({"first": rows, "second": rows.where("subject_id >= 7"), "third": third}, ["split_seed", "subject_id"], ["outer_fold"])
+    return found.groupBy("split_seed", "side", "problem").agg(F.count("*").alias("cases"))
+
+
+from weftline.plans import model_queries, store_queries  # noqa: E402,F401  they register their queries on top of what is defined above
