@@ -3,42 +3,65 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The phrases of the platform's share posts.
-SHARE_HEADERS = ("分享图片", "分享视频")
+SHARE_FIRST = r"(?U)\A\s*+(?:分享图片|分享视频)[^\S\n]*+(?:\n|\z)"
+VIDEO_MARK = "的微博视频"
 SHARE_ONLY = r"(?U)\A\s*分享(?:图片|视频)\s*\z"
 VIDEO_LINE = r"(?U)(?<!\s)\s*\n[^\n\r]{1,120}的微博视频\s*\z"
 
 
+# The characters of Unicode's White_Space property.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without leading and trailing Unicode white space; a run of it is tried once, from its start, so time is linear."""
-    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
+    """Without leading and trailing Unicode white space."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(?<!\s)\s++\z", "")
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is named; as a plain expression it would be copied to each place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without_place(out: Column, location: Column) -> Column:
+    """Where there is a location, blank lines at the end go in any case, then one line that repeats it."""
+
+    def with_line(bare: Column, place: Column) -> Column:
+        last = F.substring_index(bare, "\n", -1)
+        return F.when(strip(last) == place, F.substring(bare, F.lit(1), F.length(bare) - F.length(last) - 1)).otherwise(bare)
+
+    def without_blank_lines(core: Column) -> Column:
+        tail = F.substring(out, F.length(core) + 1, F.length(out))
+        return F.when(core == "", F.lit("")).otherwise(F.concat(core, F.substring_index(tail, "\n", 1)))
+
+    bare = let(strip_right(out), without_blank_lines)
+    return let(strip(F.coalesce(location, F.lit(""))), lambda place: F.when(place == "", out).otherwise(let(bare, lambda b: with_line(b, place))))
 
 
 def clean_text(text: Column, location: Column | None = None) -> Column:
     """The post's own words: no share-only posts, video line, repeated location line or bare share header; null is empty."""
-    value = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    out = F.regexp_replace(value, VIDEO_LINE, "")
-    if location is not None:
-        place = strip(F.coalesce(location, F.lit("")))
-        # blank lines at the end go in any case where there is a location, then one line that repeats it
-        bare = F.regexp_replace(out, r"(?U)\A\s*+\z|(?<!\s)([^\S\n]*+)\n\s*+\z", "$1")
-        lines = F.split(bare, "\n", -1)
-        repeats = strip(F.element_at(lines, -1)) == place
-        shorter = F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
-        out = F.when(place == "", out).otherwise(F.when(repeats, shorter).otherwise(bare))
-    lines = F.filter(F.transform(F.split(out, "\n", -1), strip), lambda x: x != "")
-    header = F.coalesce(F.get(lines, F.lit(0)).isin(*SHARE_HEADERS), F.lit(False))
-    empty = value.rlike(SHARE_ONLY) | (header & (F.size(lines) <= 2))
-    return F.when(empty, F.lit("")).otherwise(strip_right(out))
+
+    def finished(value: Column, out: Column) -> Column:
+        few = F.size(F.filter(F.split(out, "\n", -1), lambda x: strip(x) != "")) <= 2
+        return F.when(value.rlike(SHARE_ONLY) | (out.rlike(SHARE_FIRST) & few), F.lit("")).otherwise(strip_right(out))
+
+    def cleaned(value: Column) -> Column:
+        out = F.when(value.contains(VIDEO_MARK), F.regexp_replace(value, VIDEO_LINE, "")).otherwise(value)
+        if location is None:
+            return let(out, lambda o: finished(value, o))
+        return let(let(out, lambda o: _without_place(o, location)), lambda o: finished(value, o))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), cleaned)
 
 
 def keyword_pattern(keywords: Iterable[str]) -> str | None:
