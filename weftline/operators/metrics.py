@@ -32,17 +32,33 @@ def rates(counts: DataFrame) -> DataFrame:
     return df.withColumn("f1", _share(2 * c("precision") * c("recall"), c("precision") + c("recall")))
 
 
-def roc_auc(predictions: DataFrame, group: Sequence[str], label: str, score: str) -> DataFrame:
-    """Mann-Whitney with ties at half; null where a class is missing. Scores are grouped before they are ordered."""
-    by_score = predictions.groupBy(*group, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("q")
-    wins = by_score.withColumn("w", F.col("p") * (below + F.col("q") / 2))
-    total = wins.groupBy(*group).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return total.select(*group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("roc_auc"))
-
+def roc_auc(predictions: DataFrame, group: Sequence[str], label: str, score: str, parts: int = 1) -> DataFrame:
+    """Mann-Whitney with ties at half; null where a class is missing. Scores are grouped before they are ordered.
 
-def binary_metrics(predictions: DataFrame, group: Sequence[str], label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """All metrics of each group; a score at the threshold is positive.
+    With `parts` above 1 a group's scores are cut at that many of its quantiles, roughly found: the losers below a score
+    are those of lower ranges, a sum carried over one row a range, and those below it in its own range. No window then
+    holds a whole group, so groups may be of any size; the result is the same.
+    """
+    by_score = predictions.groupBy(*group, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q"))
+    keys = list(group)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if parts > 1:
+        cuts = [k / parts for k in range(1, parts)]
+        bounds = by_score.groupBy(*keys).agg(F.percentile_approx(score, cuts, 20 * parts).alias("__cuts"))
+        cut = by_score.join(bounds, keys) if keys else by_score.join(F.broadcast(bounds))  # a row a group
+        cut = cut.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
+        sums = cut.groupBy(*keys, "__part").agg(F.sum("q").alias("__q"))
+        lower = sums.select(*keys, "__part", (F.sum("__q").over(upto(Window.partitionBy(*keys).orderBy("__part"))) - F.col("__q")).alias("__lower"))
+        within = F.sum("q").over(upto(Window.partitionBy(*keys, "__part").orderBy(score))) - F.col("q")
+        wins = cut.withColumn("__below", within).join(lower, [*keys, "__part"]).withColumn("__below", F.col("__below") + F.col("__lower"))
+    else:
+        wins = by_score.withColumn("__below", F.sum("q").over(upto(Window.partitionBy(*keys).orderBy(score))) - F.col("q"))
+    total = wins.withColumn("w", F.col("p") * (F.col("__below") + F.col("q") / 2)).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return total.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("roc_auc"))
+
+
+def binary_metrics(predictions: DataFrame, group: Sequence[str], label: str = "label", score: str = "score", threshold: float = 0.5, parts: int = 1) -> DataFrame:
+    """All metrics of each group; a score at the threshold is positive. `parts` is that of `roc_auc`, for large groups.
 
     A label other than 0 and 1, a score that is null or NaN and, without groups, an empty input are errors.
     """
@@ -53,9 +69,9 @@ def binary_metrics(predictions: DataFrame, group: Sequence[str], label: str = "l
     sound = predictions.withColumn(label, F.when(F.coalesce(fine, F.lit(False)), F.col(label)).otherwise(bad))
     counts = rates(confusion(sound.withColumn("__p", (F.col(score) >= threshold).cast("int")), group, label, "__p"))
     if group:
-        return counts.join(roc_auc(sound, group, label, score), list(group))
+        return counts.join(roc_auc(sound, group, label, score, parts), list(group))
     some = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no rows to judge")))
-    return counts.withColumn("n", some).join(roc_auc(sound, group, label, score))  # one row each
+    return counts.withColumn("n", some).join(roc_auc(sound, group, label, score, parts))  # one row each
 
 
 def t_critical(n: Column) -> Column:

@@ -951,4 +951,40 @@ def aligned_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("split_seed", "side", "problem").agg(F.count("*").alias("cases"))
 
 
+
+@query("WITH p AS (SELECT l_returnflag AS run, l_extendedprice AS score, CAST(l_discount >= 0.05 AS INT) AS label FROM lineitem), g AS (SELECT run, score, sum(label) AS p, count(*) - sum(label) AS q FROM p GROUP BY ALL), w AS (SELECT *, p * (sum(q) OVER (PARTITION BY run ORDER BY score) - q / 2) AS w FROM g) SELECT run, round(sum(w) / (sum(p) * sum(q)), 6) AS roc_auc FROM w GROUP BY run")
+def roc_auc_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a line's price tell its discount? A run is a return flag with up to half of all lines, so it is cut into ranges."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_extendedprice").alias("score"), (F.col("l_discount") >= 0.05).cast("int").alias("label"))
+    return met.roc_auc(rows, ["run"], "label", "score", parts=64).select("run", r6("roc_auc").alias("roc_auc"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
+def without_pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return con.set_difference(table(spark, sf_dir, "customer"), orders, ["c_custkey"])
+
+
+@query("SELECT coalesce(a, b) AS k, CASE WHEN b IS NULL THEN 'left' ELSE 'right' END AS only_in FROM (SELECT DISTINCT o_custkey AS a FROM orders WHERE o_orderstatus = 'F') FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders WHERE o_orderstatus = 'P') ON a = b WHERE a IS NULL OR b IS NULL")
+def unequal_status_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders of only one of two statuses."""
+    orders = table(spark, sf_dir, "orders")
+    return con.unequal_sets(*(orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in "FP"), ["k"])
+
+
+@query("SELECT DISTINCT user_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value NULLS FIRST, event_id) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events) WHERE x <> y")
+def sequences_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events are in another order by time than by value."""
+    e = table(spark, sf_dir, "events")
+    sides = [e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).alias("pos")) for order in (["value", "event_id"], ["ts", "event_id"])]
+    return con.unequal_sequences(*sides, "user_id", "pos", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, '@')")
+def address_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an address sign where a condition says that none may."""
+    docs = table(spark, sf_dir, "documents").withColumn("has_address", F.contains("text", F.lit("@")))
+    return con.leaks(docs, ["has_address"]).select("doc_id")
+
+
 from weftline.plans import model_queries, store_queries  # noqa: E402,F401  they register their queries on top of what is defined above
