@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import hierarchical as hi
 from weftline.operators import training as tr
@@ -196,3 +197,27 @@ def test_too_many_posts_and_bad_vectors_are_errors(spark):
     models = tr.to_table(spark, {(a, b): hi.initial(s, 0) for a in (1, 2) for b in (0, 1)})
     with pytest.raises(Exception, match="every post has 5 numbers"):
         tr.score(tr.sequences(posts, subjects, ["vec"], 4), roles, models, s, 4).collect()
+
+
+def test_mean_mlp_is_a_case_of_the_model():
+    from weftline.operators import neural
+
+    s = tr.mean_mlp_settings(6, 5)
+    p = parameters(s)
+    content, metadata, mask, _ = data(s)
+    weights = {"norm_gain": p["head_norm.gain"], "norm_shift": p["head_norm.shift"], "w1": p["head_in.weight"].T, "b1": p["head_in.bias"], "w2": p["head_out.weight"][0], "b2": p["head_out.bias"][0]}
+    want = [neural.mean_mlp(content[i, :, 0], mask[i], weights) for i in range(len(mask))]
+    assert np.allclose(hi.forward(s, hi.Layers(p), content, metadata, mask)[0], want, atol=1e-12)
+
+
+def test_sweep_over_training_seeds(spark):
+    posts, subjects, _ = cohort(spark)
+    own = (F.substring("subject_id", 2, 2).cast("int") / 2).cast("int") % 3
+    roles = subjects.select(F.lit(1).alias("split_seed"), F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("outer_fold"), "*").withColumn("role", F.when(own == F.col("outer_fold"), "test").when((own + 1) % 3 == F.col("outer_fold"), "validation").otherwise("train"))
+    how = tr.TrainingSettings(epochs=4, learning_rate=0.05)
+    predictions, summary = tr.sweep(tr.sequences(posts, subjects, ["vec"], 4), roles, tr.mean_mlp_settings(6, 4), how, 4, (3, 4))
+    assert predictions.count() == 2 * roles.count()
+    rows = {r["metric"]: r for r in summary.collect()}
+    assert set(rows) == {"accuracy", "precision", "recall", "f1", "roc_auc"} and all(r["n"] == 2 and r["split_seed"] == 1 for r in rows.values())
+    with pytest.raises(ValueError):
+        tr.sweep(posts, roles, tr.mean_mlp_settings(6), how, 4, (3, 3))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators import hierarchical as hi
+from weftline.operators.stats import repeated_summary
 
 KEYS = ("split_seed", "outer_fold")
 #: All models' parameters together; more are an error: train fewer seeds at once.
@@ -234,3 +235,24 @@ def fit(seqs: DataFrame, assignments: DataFrame, settings: hi.HierarchicalSettin
     rows = [(*h[:5], h[2] == best[h[:2]][1]) for h in history]
     models = to_table(spark, {k: hi.unpack(settings, v[2]) for k, v in best.items()})
     return models, spark.createDataFrame(rows, "split_seed int, outer_fold int, epoch int, train_loss double, validation_loss double, best boolean")
+
+
+def mean_mlp_settings(dimension: int, hidden: int = 512, dropout: float = 0.0) -> hi.HierarchicalSettings:
+    """The mean-pool classifier, norm, hidden layer, GELU and output over the mean of a subject's vectors, as a case of the model."""
+    return hi.HierarchicalSettings(d_model=dimension, embedding_dimension=dimension, classifier_hidden_dim=hidden, dropout=dropout, architecture_variant="mean_pooling_at_both_levels")
+
+
+def sweep(seqs: DataFrame, assignments: DataFrame, settings: hi.HierarchicalSettings, training: TrainingSettings, limit: int, seeds: Sequence[int], *, subject: str = "subject_id") -> tuple[DataFrame, DataFrame]:
+    """(predictions, summary) of models that differ in their training seed alone, on the same folds.
+
+    Predictions carry `training_seed`; the summary is of each split seed's metrics over the training seeds.
+    """
+    if len(set(seeds)) != len(seeds) or len(seeds) < 2:
+        raise ValueError("a sweep has two distinct training seeds at least")
+    out = None
+    for seed in seeds:
+        models, _ = fit(seqs, assignments, settings, replace(training, seed=seed), limit, subject=subject)
+        scored = score(seqs, assignments, models, settings, limit, subject=subject).withColumn("training_seed", F.lit(seed))
+        out = scored if out is None else out.unionByName(scored)
+    runs = out.select(F.col("split_seed").alias("of_split"), F.col("training_seed").alias("split_seed"), F.col(subject).alias("subject_id"), "outer_fold", "role", "label", "score")
+    return out, repeated_summary(runs, ["of_split"]).withColumnRenamed("of_split", "split_seed")
