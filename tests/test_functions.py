@@ -305,3 +305,11 @@ def test_audits_notice_moved_missing_and_undefined_rows(spark):
     assert audits.fusion_audit(a, b, fused, 0.25).count() == 0
     moved = fused.withColumn("score", F.col("score") + (F.col("subject_id") == "s2").cast("double"))
     assert [(r.subject_id, r["column"], r.stored - r.again) for r in audits.fusion_audit(a, b, moved, 0.25).collect()] == [("s2", "score", pytest.approx(1.0))]
+
+
+def test_auc_over_ranges_equals_auc_over_groups(spark):
+    rows = [("a", k % 2, float((k * 37) % 101)) for k in range(400)] + [("b", int(k % 3 == 0), 0.5) for k in range(50)] + [("c", 1, 1.0)] + [("d", k % 2, k / 7) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    ask = lambda group, parts: sorted(map(tuple, metrics.roc_auc(df, group, "label", "score", parts).collect()))
+    for parts in (2, 3, 7, 64):
+        assert ask(["g"], parts) == ask(["g"], 1) and ask([], parts) == ask([], 1)

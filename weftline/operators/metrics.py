@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,19 +42,28 @@ def roc_auc(predictions: DataFrame, group: Sequence[str], label: str, score: str
     """
     by_score = predictions.groupBy(*group, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("q"))
     keys = list(group)
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def before(within: Sequence[str], order: str) -> Column:
+        return F.sum("q").over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("q")
+
+    def summed(df: DataFrame, within: Sequence[str]) -> DataFrame:
+        wins = df.withColumn("w", F.col("p") * (before(within, score) + F.col("q") / 2))
+        return wins.groupBy(*within).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+
     if parts > 1:
         cuts = [k / parts for k in range(1, parts)]
+        step = math.isqrt(parts - 1) + 1  # every step-th cut is looked at first, then those up to the next
         bounds = by_score.groupBy(*keys).agg(F.percentile_approx(score, cuts, 20 * parts).alias("__cuts"))
+        bounds = bounds.withColumn("__marks", F.array(*(F.get("__cuts", F.lit(k - 1)) for k in range(step, parts, step))))
         cut = by_score.join(bounds, keys) if keys else by_score.join(F.broadcast(bounds))  # a row a group
-        cut = cut.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
-        sums = cut.groupBy(*keys, "__part").agg(F.sum("q").alias("__q"))
-        lower = sums.select(*keys, "__part", (F.sum("__q").over(upto(Window.partitionBy(*keys).orderBy("__part"))) - F.col("__q")).alias("__lower"))
-        within = F.sum("q").over(upto(Window.partitionBy(*keys, "__part").orderBy(score))) - F.col("q")
-        wins = cut.withColumn("__below", within).join(lower, [*keys, "__part"]).withColumn("__below", F.col("__below") + F.col("__lower"))
+        below = lambda some: F.size(F.filter(some, lambda c: c < F.col(score)))
+        cut = cut.withColumn("__mark", below(F.col("__marks")) * step)
+        cut = cut.withColumn("__part", F.col("__mark") + below(F.slice("__cuts", F.col("__mark") + 1, F.lit(step - 1)))).drop("__cuts", "__marks", "__mark")
+        ranges = summed(cut, [*keys, "__part"])
+        ranges = ranges.withColumn("w", F.col("w") + F.col("p") * before(keys, "__part"))
+        total = ranges.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     else:
-        wins = by_score.withColumn("__below", F.sum("q").over(upto(Window.partitionBy(*keys).orderBy(score))) - F.col("q"))
-    total = wins.withColumn("w", F.col("p") * (F.col("__below") + F.col("q") / 2)).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+        total = summed(by_score, keys)
     return total.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("roc_auc"))
 
 
