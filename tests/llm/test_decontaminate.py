@@ -61,3 +61,14 @@ def test_no_items(spark):
     r = add_contamination(docs, bench).first().contamination
     assert (r.n_words, r.spans, r["items"]) == (3, [], [])
     assert add_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_blocks_leave_one_index_and_merge_spans(spark):
+    docs = spark.createDataFrame([(1, "x " + " ".join(f"t{i}" for i in range(40)) + " y"), (1, None), (2, "word " * 200_000), (3, "t0")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(f"t{i}" for i in range(k, k + 12))) for k in range(28)] + [(100, "word")], "item_id long, text string")
+    whole, blocks = (add_contamination(docs, items, block_words=w) for w in (1 << 20, 30))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(whole) == key(blocks) and whole.columns == blocks.columns
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # nothing is judged again when results are read
+    assert add_contamination(docs.limit(0), items, block_words=30).count() == 0

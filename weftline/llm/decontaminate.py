@@ -14,8 +14,11 @@ words stand next to each other in it.  The join
 5. verifies the survivors word for word (each word by its 64-bit hash).
 
 Items are taken in blocks of about `block_words` words (an item stays whole), each
-block broadcast for one pass over the documents, so any number of items works.  A
-word is a window at most, so what the driver builds and broadcasts has a bound.
+block broadcast for one pass over the documents.  A word is a window at most, so
+what the driver builds and broadcasts has a bound.  With several blocks, documents
+are numbered and written once; each block's hits are written and its broadcast
+destroyed before the next one, so a task never holds more than one index, and the
+hits of all blocks are joined to the documents by their numbers at the end.
 
 Defined results: a null or empty text has no words, no spans, no items; items
 without words or without an id are left out; repeated document rows are judged
@@ -27,15 +30,16 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import textbytes as tb
-from weftline.llm.scratch import bound_batches
+from weftline.llm.scratch import Scratch, bound_batches
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -174,7 +178,7 @@ def _matches(words: np.ndarray, bounds: np.ndarray, look: _Lookup, index: dict)
     return np.concatenate(begins), np.concatenate(wins)
 
 
-def _judge(part: tb.TextSlice, look: _Lookup, index: dict, before: list | None) -> pa.Array:
+def _judge(part: tb.TextSlice, look: _Lookup, index: dict) -> pa.Array:
     words, bounds = _word_hashes(part)
     begin, win = _matches(words, bounds, look, index)
     cover = np.zeros(len(words) + 1, np.int64)
@@ -184,12 +188,6 @@ def _judge(part: tb.TextSlice, look: _Lookup, index: dict, before: list | None)
     found: dict[int, set[str]] = defaultdict(set)
     for r, w in set(zip(row_of.tolist(), win.tolist(), strict=True)):
         found[r].update(index["items"][w])
-    for r, old in enumerate(before or ()):
-        if old and old["items"]:
-            found[r].update(old["items"])
-            for s in old["spans"]:
-                cover[bounds[r] + s["first"]] += 1
-                cover[bounds[r] + s["past"]] -= 1
     hit = np.cumsum(cover)[:-1] > 0
     edge = np.flatnonzero(hit)
     if len(edge):
@@ -207,14 +205,13 @@ def _judge(part: tb.TextSlice, look: _Lookup, index: dict, before: list | None)
     return pa.StructArray.from_arrays([pa.array(np.diff(bounds)), pa.ListArray.from_arrays(per_row, spans), items], fields=list(_ARROW))
 
 
-def _judging(column: str, out: str, shared, chained: bool):
+def _judging(column: str, out: str, shared):
     @tb.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         look = _Lookup(index["keys"])
         for batch in batches:
-            old = batch.column(out).to_pylist() if chained else None
-            parts = [_judge(p, look, index, old and old[p.first : p.first + p.rows]) for p in tb.slices(batch.column(column))]
+            parts = [_judge(p, look, index) for p in tb.slices(batch.column(column))]
             names = [n for n in batch.schema.names if n != out]
             result = pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), result], [*names, out])
@@ -245,19 +242,52 @@ def add_contamination(
     blocks = max(1, -(-int(total) // block_words))
     df = docs.drop(out) if out in docs.columns else docs
     only = docs.select(F.col(text).alias("t"))
-    for b in range(blocks):
+
+    def index(b: int):
         rows = kept.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         windows = _Windows([(r["i"], r["t"]) for r in rows], window, shingle)
-        tokens, counts = windows.tokens(), np.zeros(0, np.int64)
+        tokens = windows.tokens()
         counts = np.zeros(len(tokens), np.int64)
         if len(tokens):
             seen = only.mapInArrow(_counting("t", tokens, windows.sizes()), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
             for r in seen:
                 counts[r["token"]] = r["n"]
-        shared = spark.sparkContext.broadcast(windows.prefix_index(tokens, counts))
-        schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, RESULT)])
-        df = df.mapInArrow(_judging(text, out, shared, b > 0), schema)
-    return df
+        return spark.sparkContext.broadcast(windows.prefix_index(tokens, counts))
+
+    def judged(rows: DataFrame, shared) -> DataFrame:
+        schema = T.StructType([f for f in rows.schema.fields if f.name != out] + [T.StructField(out, RESULT)])
+        return rows.mapInArrow(_judging(text, out, shared), schema)
+
+    if blocks == 1:
+        return judged(df, index(0))
+    # one index at a time on driver and executors: each block's hits are written before the next block is built
+    scratch = Scratch(spark, "windows")
+    row = "__row" + "_" * max(map(len, df.columns))  # longer than any name there is
+    shared = index(0)
+    first = scratch.save(judged(df.withColumn(row, F.monotonically_increasing_id()), shared), "hits-0")
+    found = [first.select(row, out)]
+    only = first.select(F.col(text).alias("t"))
+    for b in range(1, blocks):
+        shared.destroy()
+        shared = index(b)
+        hits = judged(first.select(row, text), shared).where(F.size(f"{out}.items") > 0)
+        found.append(scratch.save(hits.select(row, out), f"hits-{b}"))
+    shared.destroy()
+    return _with_all_hits(first, reduce(DataFrame.union, found).where(F.size(f"{out}.items") > 0), row, out)
+
+
+def _with_all_hits(docs: DataFrame, hits: DataFrame, row: str, out: str) -> DataFrame:
+    """`docs` with the hits of all blocks in `out`: spans that overlap or touch are one, items are distinct."""
+    spans = hits.select(row, F.explode(f"{out}.spans").alias("s")).select(row, "s.first", "s.past")
+    order = Window.partitionBy(row).orderBy("first", "past")
+    spans = spans.withColumn("reached", F.max("past").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum((F.col("first") > F.coalesce("reached", F.lit(-1))).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy(row, "run").agg(F.min("first").alias("first"), F.max("past").alias("past"))
+    runs = runs.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
+    items = hits.select(row, F.explode(f"{out}.items").alias("i")).groupBy(row).agg(F.sort_array(F.collect_set("i")).alias("items"))
+    every = runs.join(items, row).select(row, F.struct("spans", "items").alias(f"{row}_"))
+    made = F.struct(F.col(f"{out}.n_words"), F.coalesce(F.col(f"{row}_.spans"), F.array().cast(RESULT["spans"].dataType)).alias("spans"), F.coalesce(F.col(f"{row}_.items"), F.array().cast(RESULT["items"].dataType)).alias("items"))
+    return docs.join(every, row, "left").withColumn(out, made.cast(RESULT)).drop(row, f"{row}_")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
