@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -30,6 +32,18 @@ def test_arc_round_trip(version):
     assert [(w.headers, w.block) for w in again] == [(w.headers, w.block) for w in warc]
 
 
+def test_reading_is_linear():
+    rng = random.Random(5)
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\n" + rng.randbytes(2000) for _ in range(20_000)] + [b"x" * 3_000_000]
+    records = [convert(r, "t.arc") for r in read_arc(write_arc(1, "t.arc", [("http://a/", "0.0.0.0", "20240101000000", "text/html", b) for b in bodies]))]
+    data = b"".join(warc_bytes(r, 1) for r in records)
+    started = time.monotonic()
+    assert [r.block for r in read_warc(data)] == [r.block for r in records]
+    assert len(data) > 40_000_000 and time.monotonic() - started < 20  # in the square of its size it took minutes
+    with pytest.raises(ValueError, match="cut off"):
+        list(read_warc(data[:-5]))
+
+
 def test_damage_is_noticed():
     data = write_arc(1, "t.arc", [("http://a", "1.1.1.1", "20080430204825", "text/plain", b"0123456789")])
     assert list(read_arc(data[:-6]))[-1].truncated

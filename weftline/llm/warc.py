@@ -33,6 +33,8 @@ from weftline.llm.scratch import Scratch, batch_rows
 
 #: Compressed bytes after which a task begins another archive.
 FILE_BYTES = 4 << 20
+#: Compressed bytes handed to the decompressor at once.
+_PIECE = 1 << 14
 
 # Header fields of the two versions of the ARC format.
 ARC_FIELDS = {
@@ -165,12 +167,23 @@ def warc_bytes(record: WarcRecord, level: int = 5) -> bytes:
     return z.compress(head.encode("utf-8", "surrogateescape") + record.block + b"\r\n\r\n") + z.flush()
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members one after another; the input is handed over in pieces, so that time is linear in it."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + _PIECE]
+            if not piece:
+                raise ValueError("the last gzip member is cut off")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def read_warc(data: bytes) -> Iterator[WarcRecord]:
     """Records of a WARC file of gzip members; declared lengths and block digests are checked."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data)
-        data = z.unused_data
+    for raw in _members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogateescape").split("\r\n")
         if not lines[0].startswith("WARC/"):
