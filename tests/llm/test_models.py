@@ -177,6 +177,15 @@ def test_url_parts_and_rules(spark):
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(rows))] == [r[1:] for r in rows]
     assert got[1].verdict == "block" and got[0].verdict == "allow" and all(r.verdict in ("allow", "block") for r in got.values())
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
+    clash = df.select("url", F.col("page_id").alias("host"))
+    assert {r.host_key: (r.host, r.verdict) for r in url_filter.filter_urls(clash, RULES, key="host").collect()} == {k: (r.host, r.verdict) for k, r in got.items()}
+
+
+def test_long_and_repeated_urls(spark):
+    rows = [(1, "http://a.org/fr/x"), (2, "http://example.com/de/y")] + [(None, "http://b.io/" + "long/" * 100_000), (None, None)] + [(None, "http://c.io/z")] * 3000
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_filter.filter_urls(df, RULES).groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("verdict").alias("v")).collect()
+    assert {r.host: (r.n, r.v) for r in got} == {"a.org": (1, 1), "example.com": (1, 1), "b.io": (1, 1), "": (1, 1), "c.io": (3000, 1)}
 
 
 def markov_scores(texts, says):

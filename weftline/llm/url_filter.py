@@ -181,15 +181,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", ur
     """(key, host, path, rule, verdict, p_allow) for every row; p_allow is the models' probability."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"), whole_text(F.col(url)).alias("__text"))
+    own = "__key"  # the caller's name may be one of those below
+    rows = pages.select(F.col(key).alias(own), host.alias("host"), path.alias("path"), whole_text(F.col(url)).alias("__text"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("__says", verdict)
     aside = F.when(F.crc32("__text") % 4 == 2, _ASIDE).otherwise(0)
     rows = rows.withColumn("__kind", F.when(F.col("__says").isNull(), _KINDS).otherwise(aside + (F.col("__says") == "allow").cast("int")))
     size = rows.agg(F.sum(F.octet_length("__text") + 1).alias("bytes"), *(F.max(F.col("__kind").isin(c, _ASIDE + c)).alias(f"has{c}") for c in (0, 1)), F.count_distinct(F.when(F.col("__kind") < _ASIDE, F.col("__kind"))).alias("trial_classes")).first()
     if not size["has0"] or not size["has1"]:
-        return rows.select(key, "host", "path", "rule", F.coalesce("__says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("p_allow"))
-    chunk = F.pmod(F.xxhash64(key, "__text"), F.lit(-(-size["bytes"] // _CHUNK_BYTES)))
+        return rows.select(F.col(own).alias(given), "host", "path", "rule", F.coalesce("__says", F.lit("allow")).alias("verdict"), F.lit(1.0).alias("p_allow"))
+    chunk = F.pmod(F.xxhash64(own, "__text"), F.lit(-(-size["bytes"] // _CHUNK_BYTES)))
     dealt = scratch.save(rows.withColumn("__chunk", chunk).repartition("__chunk").sortWithinPartitions("__chunk"), "dealt")
     grams = dealt.select("__chunk", "__kind", "__text").mapInArrow(_counting, "chunk long, gram long, " + ", ".join(f"{n} long" for n in _N))
     grams = scratch.save(grams, "grams")
@@ -203,4 +204,4 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", ur
     scratch.drop("dealt", "grams", "ratios", *(f"order-{k}" for k in range(ORDER + 1)))
     slope, offset = _calibrate(scored) if size["trial_classes"] == 2 else (1.0, 0.0)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("__full") * slope + offset)))
-    return scored.withColumn("p_allow", p).select(key, "host", "path", "rule", F.coalesce("__says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"), "p_allow")
+    return scored.withColumn("p_allow", p).select(F.col(own).alias(given), "host", "path", "rule", F.coalesce("__says", F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")).alias("verdict"), "p_allow")
