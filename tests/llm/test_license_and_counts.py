@@ -94,3 +94,14 @@ def test_documents_through_flat_files(spark):
     assert got == sorted(((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows), key=str)
     assert count_document_tokens(docs.limit(0)).count() == 0
     assert Scratch(spark, "x").path
+
+
+def test_ids_that_files_cannot_hold(spark):
+    docs = spark.createDataFrame([(1, "plain words here")], "doc_id long, text string")
+    used = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("plain words here", add_special_tokens=False).ids
+    assert max(used) > 255 and 0 not in used
+    for wrong in ({"dtype": "u1", "separator": 0}, {"separator": used[0]}):
+        with pytest.raises(Exception, match="fit the type"):
+            count_document_tokens(docs, **wrong).collect()
+    several = spark.createDataFrame([(1, "plain words here")] * 5, "file long, text string")
+    assert [r.n_tokens for r in count_document_tokens(several, doc_id="file").collect()] == [len(used)] * 5

@@ -61,6 +61,8 @@ def _writing(folder: str, tokenizer: str, separator: int, dtype: str, file_ids:
             names, places = [], []
             for p in tb.slices(batch.column(1)):
                 ids, bounds = bpe.encode(p)
+                if len(ids) and (int(ids.max()) > np.iinfo(dtype).max or (ids == separator).any()):
+                    raise ValueError("an id of a text doesn't fit the type of the files, or is the separator")
                 ids = ids.astype(dtype)
                 for r in range(p.rows):
                     if n_held > file_ids:
