@@ -178,10 +178,14 @@ def _calibrate(scored: DataFrame) -> tuple[float, float]:
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url") -> DataFrame:
-    """(key, host, path, rule, verdict, p_allow) for every row; p_allow is the models' probability."""
+    """(key, host, path, rule, verdict, p_allow) for every row; p_allow is the models' probability.
+
+    A key named as one of the other columns comes back with `_key` behind its name.
+    """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url))
     own = "__key"  # the caller's name may be one of those below
+    given = f"{key}_key" if key.lower() in ("host", "path", "rule", "verdict", "p_allow") else key
     rows = pages.select(F.col(key).alias(own), host.alias("host"), path.alias("path"), whole_text(F.col(url)).alias("__text"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("__says", verdict)
