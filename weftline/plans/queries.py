@@ -987,4 +987,4 @@ def address_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return con.leaks(docs, ["has_address"]).select("doc_id")
 
 
-from weftline.plans import model_queries, store_queries  # noqa: E402,F401  they register their queries on top of what is defined above
+from weftline.plans import model_queries, raw_queries, store_queries  # noqa: E402,F401  they register their queries on top of what is defined above
