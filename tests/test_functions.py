@@ -51,6 +51,14 @@ def test_keywords(spark):
     assert _one(spark, text.mentions(c, words), t="my ocd") is True
 
 
+def test_mentions_folds_case(spark):
+    texts = ["STRASSE", "straße", "Straẞe", "ΌΣΟΣ", "όσος", "ﬁne", "ſo", "K", "plain", "", None, "İx", "ΟΔΟΣ"]
+    words = ["Straße", "ΌΣΟΣ", "Fine", "SO", "k", "i̇x", "οδος"]
+    for word in words:
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.mentions(F.col("t"), [word]).alias("m")).collect()
+        assert [r.m for r in rows] == [t is not None and word.casefold() in t.casefold() for t in texts], word
+
+
 @pytest.mark.parametrize("raw, want", [(" 12 ", 12), ("4.9", 4), ("-3", 0), ("", 0), ("abc", 0), ("4d", 0), ("1e3", 1000), ("inf", 0), ("nan", 0), (None, 0), ("1_000", 1000), ("7.", 7)])
 def test_parse_count(spark, raw, want):
     assert _one(spark, metadata.parse_count(F.col("t")), t=raw) == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -91,11 +92,36 @@ def mask_keywords(text: Column, keywords: Iterable[str], replacement: str = "[MA
     return F.regexp_replace(text, pattern, re.sub(r"([\\$])", r"\\\1", replacement)) if pattern else text
 
 
+def _folded(text: Column, letters: set[str]) -> Column:
+    """Case-folded text, as far as a search for `letters` needs it.
+
+    Few characters fold to something other than their lower case. Only those whose fold has one of the letters matter,
+    and they are replaced only in texts that have one.
+    """
+    odd = {c.lower(): c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower() and not letters.isdisjoint(c.casefold())}
+    if "σ" in letters:
+        odd["ς"] = "σ"  # lower case depends on the place in the word, the fold doesn't
+    if not odd:
+        return F.lower(text)
+
+    def replaced(low: Column) -> Column:
+        exact = low
+        for c, fold in odd.items():
+            exact = F.replace(exact, F.lit(c), F.lit(fold))
+        return F.when(low.rlike("[" + "".join(odd) + "]"), exact).otherwise(low)
+
+    return let(F.lower(text), replaced)
+
+
 def mentions(text: Column, keywords: Iterable[str]) -> Column:
-    """The flag of prepared posts: any keyword as a lower-cased substring, a definition apart from the pattern's."""
-    words = [k.lower() for k in keywords]
-    low = F.lower(text)
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(low, F.lit(word))
-    return F.coalesce(found, F.lit(False))
+    """The flag of prepared posts: any keyword as a substring after case folding, a definition apart from the pattern's."""
+    words = [k.casefold() for k in keywords]
+    folded = _folded(text, set("".join(words)))
+
+    def any_of(value: Column) -> Column:
+        found = F.lit(False)
+        for word in words:
+            found = found | F.contains(value, F.lit(word))
+        return found
+
+    return F.coalesce(let(folded, any_of), F.lit(False))
