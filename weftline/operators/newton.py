@@ -1,9 +1,10 @@
 """Linear models of many folds fitted by sums over all their rows: no fold is gathered anywhere.
 
 All folds move together.  In each step tasks add up, for every fold, the objective, its gradient, and either the
-curvature matrix (narrow features) or its product with a direction (wide ones, solved by conjugate gradients); Spark
-sums them, and the driver, which holds coefficients alone, solves and moves.  The objective is strongly convex with
-modulus 1, so coefficients are within the gradient's length of the optimum, which is the stopping rule.
+curvature matrix (narrow features) or its product with a direction (wide ones, solved by conjugate gradients that the
+curvature's diagonal preconditions); Spark sums them, and the driver, which holds coefficients and matrices alone, solves
+and moves.  The objective is strongly convex with modulus 1, so coefficients are within the gradient's length of the
+optimum, which is the stopping rule.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +24,9 @@ from weftline.operators.models import BIAS
 #: Coefficients of all folds together that driver and tasks hold; more are an error.
 COEFFICIENTS = 1 << 24
 #: Up to so many features (the bias included) the curvature is summed as a matrix, if all folds' matrices fit.
-NARROW = 128
+NARROW = 1024
+#: Cells of rows that a task has spread out at once.
+CELLS = 1 << 19
 
 Losses = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -56,16 +59,28 @@ class _Rows:
         self.parts = list(zip(np.append(0, edges), np.append(edges, len(self.fold)), strict=True)) if len(self.fold) else []
 
 
+def _slices(batch: pa.RecordBatch, width: int) -> Iterator[_Rows]:
+    """A batch cut so that each part has about `CELLS` cells, or as many in rows of a width that isn't 0."""
+    index = batch.column(2)
+    cells = len(index) * width or (index.offsets[-1].as_py() - index.offsets[0].as_py() if len(index) else 0)
+    step = max(1, batch.num_rows * CELLS // max(cells, CELLS))
+    for at in range(0, batch.num_rows, step):
+        yield _Rows(batch.slice(at, step))
+
+
+def _size(width: int, what: str) -> int:
+    return 1 + width + (width * width if what == "matrix" else width)
+
+
 def _sums(held, solver: str, width: int, what: str):
-    """Rows (fold, at, x): at 0 the objective; then the gradient; then the curvature matrix or product."""
+    """Rows (fold, at, x): at 0 the objective; then the gradient; then the curvature's matrix, diagonal or product."""
     loss = LOSSES[solver]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, along, c = held.value
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = _Rows(batch)
-            for a, b in rows.parts:
+            for rows, (a, b) in ((r, part) for r in _slices(batch, width if what == "matrix" else 0) for part in r.parts):
                 fold = int(rows.fold[a])
                 if fold not in weights:
                     continue
@@ -75,17 +90,22 @@ def _sums(held, solver: str, width: int, what: str):
                 y = rows.y[a:b]
                 f = np.add.reduceat(value * weights[fold][index], begin)
                 value0, slope, bend = loss(y * f)
-                out = total.setdefault(fold, np.zeros(1 + width + (width * width if what == "matrix" else width if what == "product" else 0)))
+                if fold not in total:
+                    total[fold] = np.zeros(_size(width, what))
+                out = total[fold]
                 out[0] += c * value0.sum()
                 out[1 : 1 + width] += np.bincount(index, c * value * (y * slope)[row], width)
                 if what == "matrix":
-                    x = np.zeros((b - a, width))
-                    np.add.at(x, (row, index), value)
+                    x = np.bincount(row * width + index, value, (b - a) * width).reshape(b - a, width)
                     out[1 + width :] += (c * (x * bend[:, None]).T @ x).ravel()
                 elif what == "product":
                     moved = np.add.reduceat(value * along[fold][index], begin)
                     out[1 + width :] += np.bincount(index, c * value * (bend * moved)[row], width)
+                else:
+                    out[1 + width :] += np.bincount(index, c * value * value * bend[row], width)
         for fold, v in total.items():
+            if what == "matrix":  # one half tells the other
+                v[1 + width :] = np.triu(v[1 + width :].reshape(width, width)).ravel()
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fold, np.int32)), pa.array(at), pa.array(v[at])], ["fold", "at", "x"])
 
@@ -101,23 +121,31 @@ def fit_distributed(train: DataFrame, solver: str, c: float = 1.0, keys: Sequenc
     if solver not in LOSSES:
         raise ValueError(f"unknown solver {solver!r}")
     spark = train.sparkSession
-    per_fold = train.groupBy(*keys).agg(F.countDistinct("label").alias("classes"))
+    # read four times below, and the rows often come from long plans
+    given = train.select(*keys, "subject_id", "label", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fitted(spark, given, solver, c, keys, tolerance, rounds, narrow)
+    finally:
+        given.unpersist()
+
+
+def _fitted(spark: SparkSession, given: DataFrame, solver: str, c: float, keys: Sequence[str], tolerance: float, rounds: int, narrow: int) -> DataFrame:
+    per_fold = given.groupBy(*keys).agg(F.countDistinct("label").alias("classes"))
     folds = [tuple(r) for r in per_fold.orderBy(*keys).limit(COEFFICIENTS).collect()]
     one = next((f[:-1] for f in folds if f[-1] < 2), None)
     if one is not None:
         raise ValueError(f"training fold {one} has one class")
     most = COEFFICIENTS // max(1, len(folds))
-    named = train.select(F.col("feature").cast("string").alias("feature")).distinct()
-    features = [r[0] for r in named.limit(most).collect()]
+    features = [r[0] for r in given.select("feature").distinct().limit(most).collect()]
     if len(features) >= most:
         raise ValueError(f"more than {most} features in {len(folds)} folds: fit fewer seeds at once")
     features.sort()
     width = len(features) + 1
-    kind = T.StructType([*(train.schema[k] for k in keys), T.StructField("fold", T.IntegerType())])
+    kind = T.StructType([*(given.schema[k] for k in keys), T.StructField("fold", T.IntegerType())])
     of_fold = spark.createDataFrame([(*f[:-1], i) for i, f in enumerate(folds)], kind)
     of_feature = spark.createDataFrame(pd.DataFrame({"feature": [*features, BIAS], "at": np.arange(width, dtype=np.int32)}))
     # both tables are within the bound above; a subject's features are its own, so rows stay narrow
-    cells = train.select(*keys, "subject_id", "label", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).join(F.broadcast(of_fold), list(keys)).join(F.broadcast(of_feature), "feature")
+    cells = given.join(F.broadcast(of_fold), list(keys)).join(F.broadcast(of_feature), "feature")
     pair = F.struct("at", "value")
     subjects = cells.groupBy("fold", "subject_id").agg(F.max("label").alias("label"), F.collect_list(pair).alias("x"))
     x = F.concat("x", F.array(F.struct(F.lit(width - 1).alias("at"), F.lit(1.0).alias("value"))))
@@ -128,14 +156,16 @@ def fit_distributed(train: DataFrame, solver: str, c: float = 1.0, keys: Sequenc
         held = spark.sparkContext.broadcast((weights, along, c))
         got = rows.mapInArrow(_sums(held, solver, width, what), "fold int, at bigint, x double").groupBy("fold", "at").agg(F.sum("x").alias("x")).toArrow()
         held.destroy()
-        size = 1 + width + (width * width if what == "matrix" else width if what == "product" else 0)
-        out = {i: np.zeros(size) for i in weights}
+        out = {i: np.zeros(_size(width, what)) for i in weights}
         fold, at, x = (col.to_numpy() for col in got.columns)
         for i in out:
             own = fold == i
             out[i][at[own]] = x[own]
             out[i][0] += weights[i] @ weights[i] / 2
             out[i][1 : 1 + width] += weights[i]
+            if what == "matrix":
+                half = out[i][1 + width :].reshape(width, width)
+                half += np.triu(half, 1).T
         return out
 
     def directions(now: dict[int, np.ndarray], seen: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -144,8 +174,9 @@ def fit_distributed(train: DataFrame, solver: str, c: float = 1.0, keys: Sequenc
         if matrix:
             return {i: np.linalg.solve(np.eye(width) + v[1 + width :].reshape(width, width), -slope[i]) for i, v in seen.items()}
         d = {i: np.zeros(width) for i in now}
+        scale = {i: 1 + v[1 + width :] for i, v in seen.items()}
         left = {i: -g for i, g in slope.items()}
-        p = {i: r.copy() for i, r in left.items()}
+        p = {i: r / scale[i] for i, r in left.items()}
         for _ in range(10 * width):
             goes = {i: p[i] for i in p if np.linalg.norm(left[i]) > min(0.1, np.sqrt(np.linalg.norm(slope[i]))) * np.linalg.norm(slope[i])}
             if not goes:
@@ -153,11 +184,11 @@ def fit_distributed(train: DataFrame, solver: str, c: float = 1.0, keys: Sequenc
             bent = ask({i: now[i] for i in goes}, "product", goes)
             for i, q in goes.items():
                 h = q + bent[i][1 + width :]
-                before = left[i] @ left[i]
+                before = left[i] @ (left[i] / scale[i])
                 step = before / (q @ h)
                 d[i] += step * q
                 left[i] = left[i] - step * h
-                p[i] = left[i] + left[i] @ left[i] / before * q
+                p[i] = left[i] / scale[i] + left[i] @ (left[i] / scale[i]) / before * q
         return d
 
     try:

@@ -15,7 +15,7 @@ from weftline.operators import constraints as con
 from weftline.operators import folds as fo
 from weftline.operators import metrics as met
 from weftline.operators import models as mod
-from weftline.operators import neural
+from weftline.operators import neural, newton
 from weftline.operators import pooling as pool
 from weftline.operators import stats as st
 from weftline.operators import tfidf
@@ -869,7 +869,7 @@ def cohort_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fit_predict(spark: SparkSession, sf_dir: str, solver: str) -> DataFrame:
     a, _, means = _features(spark, sf_dir)
     train = means.where("role = 'train'").withColumnRenamed("label_id", "label")
-    coefficients = mod.fit_linear(train, solver, 1.0)
+    coefficients = newton.fit_distributed(train, solver, 1.0)
     scored = mod.linear_score(means, a, coefficients)
     return scored.select("split_seed", "outer_fold", "subject_id", r6("decision_value").alias("decision_value"), r6("score").alias("score"))
 
