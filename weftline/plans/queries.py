@@ -895,7 +895,7 @@ def tfidf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     idf = tfidf.fit_idf(counts, train, keys, "conv_id")
     weights = tfidf.transform(counts, base, idf, keys, "conv_id").select(*keys, F.col("conv_id").alias("subject_id"), F.col("gram").alias("feature"), F.col("weight").alias("value"))
     own = weights.join(train.select(*keys, F.col("conv_id").alias("subject_id")), [*keys, "subject_id"], "left_semi").withColumn("label", (F.col("subject_id") % 2).cast("int"))
-    scored = mod.linear_score(weights, base.select(*keys, F.col("conv_id").alias("subject_id")), mod.fit_linear(own, "svm"))
+    scored = mod.linear_score(weights, base.select(*keys, F.col("conv_id").alias("subject_id")), newton.fit_distributed(own, "svm"))
     return scored.select(*keys, "subject_id", r6("decision_value").alias("decision_value"), r6("score").alias("score"))
 
 
