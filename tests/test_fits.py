@@ -39,5 +39,9 @@ def test_svm_of_folds_gathers_no_fold(spark, monkeypatch):
     same_without_groups(monkeypatch, "svm_fit_predict", spark)
 
 
+def test_logistic_fit_of_folds_gathers_no_fold(spark, monkeypatch):
+    same_without_groups(monkeypatch, "lr_fit_predict", spark)
+
+
 def test_svm_of_characters_gathers_no_fold(spark, monkeypatch):
     same_without_groups(monkeypatch, "tfidf_svm", spark)
