@@ -21,20 +21,37 @@ def tie_order(seed: int, label: int, folds: int) -> list[int]:
     return [order.index(f) for f in range(folds)]
 
 
-def _deal(folds: int):
-    """One label of one seed, its subjects in order: each round of `folds` subjects fills the folds, emptiest first."""
+#: Hex digits of the digest by which subjects of one label and post count are dealt to groups.
+PREFIX = 2
+
+
+def _orders(folds: int):
+    """One label of one seed, a row per post count: the folds of a round's places, in the round where the count begins and in later ones.
+
+    Each round of `folds` subjects fills the folds, emptiest first. A round of equal counts adds the same to every fold,
+    so the order stays until the count changes: subjects needn't be met one by one.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["split_post_count"].isna().any():
+            raise ValueError("a subject has no post count")
         seed, label = int(key[0]), int(key[1])
-        rows = rows.sort_values(["split_post_count", "digest", "subject_id"], ascending=[False, True, True], kind="stable")
-        rank, total, out = tie_order(seed, label, folds), [0] * folds, []
-        counts = rows["split_post_count"].tolist()
-        for start in range(0, len(counts), folds):
-            order = sorted(range(folds), key=lambda f: (total[f], rank[f]))
-            for fold, n in zip(order, counts[start : start + folds], strict=False):
-                out.append(fold)
-                total[fold] += n
-        return pd.DataFrame({"split_seed": seed, "subject_id": rows["subject_id"], "outer_fold": out})
+        rows = rows.sort_values("split_post_count", ascending=False)
+        rank, total, at, out = tie_order(seed, label, folds), [0] * folds, 0, []
+        order: list[int] = []
+        for count, n in zip(rows["split_post_count"].tolist(), rows["n"].tolist(), strict=True):
+            start, left, used = at, n, []
+            while left and len(used) < 2:
+                place = at % folds
+                if place == 0:
+                    order = sorted(range(folds), key=lambda f: (total[f], rank[f]))
+                used.append(order)
+                take = min(left, folds - place) if len(used) == 1 else left
+                for k in range(folds):
+                    total[order[k]] += count * len(range(at + (k - at) % folds, at + take, folds))
+                at, left = at + take, left - take
+            out.append((start, used[0], used[-1]))
+        return pd.DataFrame({"split_seed": seed, "label_id": rows["label_id"], "split_post_count": rows["split_post_count"], **dict(zip(("start", "first", "later"), zip(*out, strict=True), strict=True))})
 
     return run
 
@@ -43,17 +60,28 @@ def outer_folds(subjects: DataFrame, seeds: Sequence[int], folds: int) -> DataFr
     """(split_seed, subject_id, outer_fold) from (subject_id, label_id, split_post_count).
 
     Within a label subjects go, from the most posts on, to the fold with fewest subjects, then fewest posts, then the
-    tie order. That is sequential by definition, so a label of a seed is one group of three narrow columns.
+    tie order. A task meets the numbers of subjects by post count, which are no more than the root of twice all posts,
+    and a subject's place comes from counts of digests that begin alike: no label of a seed is gathered.
     """
     if folds < 2:
         raise ValueError("at least two folds")
     few = subjects.groupBy("label_id").count().where(F.col("count") < folds).limit(1).collect()
     if few:
         raise ValueError(f"label {few[0][0]} has fewer subjects than folds")
-    kind = subjects.schema["subject_id"].dataType.simpleString()
+    kinds = {c: subjects.schema[c].dataType.simpleString() for c in ("label_id", "split_post_count")}
     each = subjects.select("subject_id", "label_id", "split_post_count", F.explode(F.array(*map(F.lit, seeds))).alias("split_seed"))
-    hashed = each.withColumn("digest", stable_digest(F.col("split_seed"), F.lit("outer"), F.col("label_id"), F.col("subject_id")))
-    return hashed.groupBy("split_seed", "label_id").applyInPandas(_deal(folds), f"split_seed int, subject_id {kind}, outer_fold int")
+    hashed = each.withColumn("digest", stable_digest(F.col("split_seed"), F.lit("outer"), F.col("label_id"), F.col("subject_id"))).withColumn("head", F.substring("digest", 1, PREFIX))
+    alike = ["split_seed", "label_id", "split_post_count"]
+    sizes = hashed.groupBy(*alike, "head").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(*alike).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    schema = f"split_seed int, label_id {kinds['label_id']}, split_post_count {kinds['split_post_count']}, start long, first array<int>, later array<int>"
+    orders = sizes.groupBy(*alike).agg(F.sum("n").alias("n")).groupBy("split_seed", "label_id").applyInPandas(_orders(folds), schema)
+    known = sizes.select(*alike, "head", ahead.alias("ahead")).join(orders, alike)
+    place = F.row_number().over(Window.partitionBy(*alike, "head").orderBy("digest", "subject_id")) - 1
+    rows = hashed.withColumn("place", place).join(known, [*alike, "head"]).withColumn("at", F.col("start") + F.col("ahead") + F.col("place"))
+    begun = F.floor(F.col("at") / folds) == F.floor(F.col("start") / folds)
+    fold = F.get(F.when(begun, F.col("first")).otherwise(F.col("later")), (F.col("at") % folds).cast("int"))
+    return rows.select("split_seed", "subject_id", fold.alias("outer_fold"))
 
 
 def equal_bins(position: Column, n: Column, bins: int) -> Column:
