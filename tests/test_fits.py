@@ -45,3 +45,16 @@ def test_logistic_fit_of_folds_gathers_no_fold(spark, monkeypatch):
 
 def test_svm_of_characters_gathers_no_fold(spark, monkeypatch):
     same_without_groups(monkeypatch, "tfidf_svm", spark)
+
+
+def test_rows_kept_between_passes_take_no_memory(spark, monkeypatch):
+    stored = spark.sparkContext._jsc.sc().getRDDStorageInfo
+    before, seen, sums = {r.id() for r in stored()}, [], newton._sums
+
+    def watched(*args):
+        seen.extend((r.memSize(), r.diskSize()) for r in stored() if r.id() not in before)
+        return sums(*args)
+
+    monkeypatch.setattr(newton, "_sums", watched)
+    assert q.QUERIES["lr_fit_predict"](spark, DATA).count()
+    assert any(disk for _, disk in seen) and not any(memory for memory, _ in seen)

@@ -121,8 +121,8 @@ def fit_distributed(train: DataFrame, solver: str, c: float = 1.0, keys: Sequenc
     if solver not in LOSSES:
         raise ValueError(f"unknown solver {solver!r}")
     spark = train.sparkSession
-    # read four times below, and the rows often come from long plans
-    given = train.select(*keys, "subject_id", "label", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
+    # read four times below, and the rows often come from long plans; on disk, as they grow with the input
+    given = train.select(*keys, "subject_id", "label", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double").alias("value")).persist(StorageLevel.DISK_ONLY)
     try:
         return _fitted(spark, given, solver, c, keys, tolerance, rounds, narrow)
     finally:
@@ -149,7 +149,7 @@ def _fitted(spark: SparkSession, given: DataFrame, solver: str, c: float, keys:
     pair = F.struct("at", "value")
     subjects = cells.groupBy("fold", "subject_id").agg(F.max("label").alias("label"), F.collect_list(pair).alias("x"))
     x = F.concat("x", F.array(F.struct(F.lit(width - 1).alias("at"), F.lit(1.0).alias("value"))))
-    rows = subjects.select("fold", F.when(F.col("label") == 1, 1).otherwise(-1).alias("y"), F.transform(x, lambda s: s["at"]).alias("index"), F.transform(x, lambda s: s["value"]).alias("value")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = subjects.select("fold", F.when(F.col("label") == 1, 1).otherwise(-1).alias("y"), F.transform(x, lambda s: s["at"]).alias("index"), F.transform(x, lambda s: s["value"]).alias("value")).persist(StorageLevel.DISK_ONLY)
     matrix = width <= narrow and len(folds) * width * width <= COEFFICIENTS
 
     def ask(weights: dict[int, np.ndarray], what: str, along: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
